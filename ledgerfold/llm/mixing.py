@@ -5,7 +5,8 @@ integral of the schedule is the source's weight; weights become targets in words
 ``max_passes`` times the source's size (the excess is shared out again by weight). The cumulative
 demand of a source is its target times the part of its schedule's integral up to a moment. Its
 documents stand in a fixed shuffled order, pass after pass; a document takes the moment at which
-demand reaches its middle word, and belongs to a pass if that is before the end.
+demand reaches its first word, and belongs to a pass if that is before the end. The last document of
+a source is cut where its target ends.
 
 Prefix sums run in two levels, buckets of a source and rows of a bucket, so a source that holds a
 third of all rows is spread over all tasks. One row for each source is all that one task orders.
@@ -120,10 +121,10 @@ def source_targets(sources: DataFrame, max_passes: int = 3) -> DataFrame:
 
 
 def curriculum(docs: DataFrame, schedules=cyclic_schedules, max_passes: int = 3, seed: int = 0) -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target, moments (array of double, ascending).
+    """One row for each document: doc_id, size, source_size, target, parts (array of moment and words).
 
     ``docs`` has doc_id, text and source. ``schedules`` makes rows (skey, knots) of rows (skey,
-    source, source_size). ``moments`` are the document's training positions, one for each pass that takes it.
+    source, source_size). ``parts`` has the training position and the words taken for each pass that takes the document.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     sized = materialize(
@@ -144,16 +145,23 @@ def curriculum(docs: DataFrame, schedules=cyclic_schedules, max_passes: int = 3,
     )
     within = Window.partitionBy("skey", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["skey", "bucket"])
-    middle = lambda p: F.col("start") + F.col("before") + p * F.col("source_size") + F.col("size") / 2
-    taken = F.filter(F.sequence(F.lit(0), F.lit(max_passes - 1)), lambda p: middle(p) < F.col("target"))
-    moments = F.transform(taken, lambda p: _moment(F.col("segments"), middle(p) / F.col("target")))
-    return placed.select("doc_id", "size", "source_size", "target", moments.alias("moments"))
+    start = lambda p: F.col("start") + F.col("before") + p * F.col("source_size")
+    taken = F.filter(F.sequence(F.lit(0), F.lit(max_passes - 1)), lambda p: start(p) < F.col("target"))
+    parts = F.transform(
+        taken,
+        lambda p: F.struct(
+            _moment(F.col("segments"), start(p) / F.col("target")).alias("moment"),
+            F.least(F.col("size"), F.ceil(F.col("target") - start(p))).alias("words"),
+        ),
+    )
+    return placed.select("doc_id", "size", "source_size", "target", parts.alias("parts"))
 
 
 def in_order(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The documents in training order, each once for every pass that takes it, range-sorted by moment.
+    """The documents in training order, whole, once for every pass that takes half of them or more.
 
     ``plan`` comes from ``curriculum``; doc_id has to be unique and not null here.
     """
-    rows = docs.join(plan.select("doc_id", F.explode("moments").alias("_moment")), "doc_id")
+    part = plan.select("doc_id", "size", F.explode("parts").alias("_part")).where("_part.words * 2 >= size")
+    rows = docs.join(part.select("doc_id", F.col("_part.moment").alias("_moment")), "doc_id")
     return rows.orderBy("_moment", "doc_id").select(*docs.columns)

@@ -16,10 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.curriculum(_table(spark, sf_dir, "documents"))
-    first = F.get("moments", 0)
+    taken = F.aggregate("parts", F.lit(0).cast("long"), lambda acc, x: acc + x["words"])
     return plan.select(
         "doc_id", "size", "source_size", "target",
-        (F.col("size") * F.size("moments")).alias("taken"), first.alias("first_moment"),
+        taken.alias("taken"), F.get("parts", 0)["moment"].alias("first_moment"),
     ).orderBy(F.col("first_moment").asc_nulls_last(), "doc_id")
 
 
