@@ -142,5 +142,6 @@ def digest(found: DataFrame) -> DataFrame:
     word = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     written = lambda spans: F.array_join(F.transform(spans, word), ",")
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import mixing, pii, secrets, sharding
+from ledgerfold.llm import decontamination, embeddings, langid, licenses, mixing, pii, quality, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +23,44 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).orderBy(F.col("first_moment").asc_nulls_last(), "doc_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    ratings = labels.select("doc_id", quality.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    return quality.score(docs, quality.fit(docs, ratings))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digest(secrets.at_paths(docs, secrets.scan_unseen(docs)))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licenses.inherit(docs.select("doc_id", licenses.document_path().alias("path")), licenses.detect(docs))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs), declared=F.col("lang"), host=F.col("source"))
+    return found.select("doc_id", "language", "probability", "accepted")
+
+
+def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over pages, where markup, addresses and hosts give evidence."""
+    bare = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;", " ")
+    pages = _table(spark, sf_dir, "pages").withColumn("text", bare)
+    found = langid.identify(
+        pages, langid.fit(_table(spark, sf_dir, "documents")),
+        declared=langid.markup_language("html"), suffix=langid.address_suffix("url"),
+        host=langid.host_of("url"), domain=langid.domain_of("url"),
+    )
+    return found.select("page_id", "language", "probability", "accepted")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(_table(spark, sf_dir, "documents")))
 
@@ -37,11 +70,21 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(docs).drop("text")
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_quality": op2_quality,
+    "op3_decontamination": op3_decontamination,
     "op4_secrets": op4_secrets,
+    "op5_licenses": op5_licenses,
+    "op6_langid": op6_langid,
+    "langid_pages": langid_pages,
     "op7_pii": op7_pii,
     "op8_sharding": op8_sharding,
+    "op9_embeddings": op9_embeddings,
 }
 
 ORACLE_SQL: dict[str, str] = {}

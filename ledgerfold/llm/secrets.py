@@ -135,7 +135,8 @@ def digest(found: DataFrame, kinds: tuple[str, ...] = BASE) -> DataFrame:
     """Counts by kind, base_sha256 and spans of (doc_id, spans) rows."""
     spans = F.coalesce("spans", F.expr("cast(array() as array<struct<kind:string,start:long,end:long>>)"))
     base = F.filter(spans, lambda x: x["kind"].isin(*kinds))
-    counts = [F.size(F.filter(spans, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    count = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in kinds]
     return found.select(
         "doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans")
     )
