@@ -200,4 +200,5 @@ def overlaps(docs: DataFrame, tests: DataFrame, least_words: int = 12, identity:
 
 def clean(docs: DataFrame, tests: DataFrame, **options) -> DataFrame:
     """The documents that overlap with no test item; those without an id stay."""
-    return docs.join(overlaps(docs, tests, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = materialize(overlaps(docs, tests, **options).select("doc_id").distinct(), "contaminated")
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)

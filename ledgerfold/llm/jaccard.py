@@ -12,9 +12,8 @@ links are united, only documents of that list whose components still differ are
 bounds by size and by a bit sketch of the sets. No list is cut off, and no link that could join two
 components is missed.
 
-A null, empty or blank text has an empty set and links with nothing. Rows that repeat an id are taken
-as one document if their sets are equal, else each set counts under that id. A null id links with
-nothing. Without rows the result is empty. Other columns are ignored.
+A null, empty or blank text has an empty set and links with nothing. Rows that repeat an id are one
+document, which links by any of its texts. A null id links with nothing. Without rows the result is empty. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,13 +73,14 @@ def _describe(k: int):
 
 
 def _prefixes(k: int, frequent: np.ndarray, num: int, den: int):
-    """(doc_id, prefix, sketch): the shingles whose lists are merged, and parities of hashed shingles."""
+    """(doc, n, prefix, sketch): the shingles whose lists are merged, and parities of hashed shingles."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefixes, sketches = [], []
+            sizes, prefixes, sketches = [], [], []
             for s in _sets(batch.column("text").to_pylist(), k):
                 n = len(s)
+                sizes.append(n)
                 if n:
                     at = np.minimum(np.searchsorted(frequent, s), max(len(frequent) - 1, 0))
                     late = frequent[at] == s if len(frequent) else np.zeros(n, bool)
@@ -92,8 +92,8 @@ def _prefixes(k: int, frequent: np.ndarray, num: int, den: int):
                     prefixes.append(np.zeros(0, np.int64))
                     sketches.append(np.zeros(_SKETCH, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                ["doc_id", "prefix", "sketch"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                ["doc", "n", "prefix", "sketch"],
             )
 
     return work
@@ -264,7 +264,7 @@ def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num: int,
     bit = F.pmod(F.xxhash64("doc"), F.lit(_MAP_BITS))
     texts = docs.select(F.col("doc_id").alias("doc"), "text").where("doc is not null").withColumn("bit", bit)
     sets = texts.mapInArrow(_marked_sets(k, _marked(wanted)), "doc long, shingles array<long>")
-    sets = materialize(sets.join(wanted, "doc", "left_semi").dropDuplicates(["doc"]), "sets")
+    sets = materialize(sets.join(wanted, "doc", "left_semi").distinct(), "sets")
     both = pairs.join(sets.withColumnsRenamed({"doc": "a", "shingles": "left"}), "a").join(
         sets.withColumnsRenamed({"doc": "b", "shingles": "right"}), "b"
     )
@@ -283,7 +283,7 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, merge
     )
     classes = materialize(
         rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(
-            F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.count("*").alias("weight")
+            F.min("doc_id").alias("doc"), F.count("*").alias("weight")
         ),
         "classes",
     )
@@ -292,16 +292,15 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, merge
     frequent = np.sort(often.to_numpy(np.int64).view(np.uint64))
 
     prefixes = texts.where("doc_id is not null").mapInArrow(
-        _prefixes(k, frequent, num, den), "doc_id long, prefix array<long>, sketch array<long>"
-    )
-    reps = materialize(
-        prefixes.withColumnRenamed("doc_id", "doc").join(classes.select("doc", "n", "weight"), "doc").dropDuplicates(["doc"]), "prefixes"
+        _prefixes(k, frequent, num, den), "doc long, n long, prefix array<long>, sketch array<long>"
     )
+    weights = classes.groupBy("doc").agg(F.max("weight").alias("weight"))
+    reps = materialize(prefixes.join(weights, "doc").dropDuplicates(["doc", "n", "sketch", "prefix"]), "prefixes")
     postings = reps.select(F.explode("prefix").alias("h"), "doc", "n", "weight")
     merged_lists = materialize(
         postings.repartition("h").sortWithinPartitions("h").mapInArrow(_merge_lists(merged, num, den), "h long, a long, b long"), "lists"
     )
-    pairs = materialize(merged_lists.where("h = 0").select("a", "b").distinct(), "pairs")
+    pairs = materialize(merged_lists.where("h = 0 and a < b").select("a", "b").distinct(), "pairs")
     first = _links(texts, reps, pairs, k, num, den)
 
     known = connected_components(first).withColumnsRenamed({"node": "doc"})
@@ -318,7 +317,7 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, merge
         in_blocks.withColumn("h", F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")))
         .select("h", "doc", "component").join(reps.select("doc", "n", "sketch"), "doc")
         .repartition("h").sortWithinPartitions("h").select("h", "doc", "n", "component", "sketch")
-        .mapInArrow(_still_apart(num, den), "h long, a long, b long").select("a", "b").distinct()
+        .mapInArrow(_still_apart(num, den), "h long, a long, b long").where("a < b").select("a", "b").distinct()
     )
     second = _links(texts, reps, rest.join(pairs, ["a", "b"], "left_anti"), k, num, den)
 
@@ -326,3 +325,12 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, merge
     by_class = classes.select("digest", "doc").join(found, "doc", "left").select("digest", F.coalesce("component", "doc").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     return out.join(by_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The documents without those that a smaller id's component holds; documents without an id stay."""
+    found = components(docs, **options).where("doc_id is not null")
+    others = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
+    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
+    return kept if repeated.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))

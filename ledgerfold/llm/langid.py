@@ -195,6 +195,13 @@ def identify(
     )
 
 
+def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents (text, lang, source and any other columns) whose language is accepted."""
+    rows = docs.select("text", F.col("lang").alias("said"), F.col("source").alias("host"), F.struct("*").alias("row"))
+    found = identify(rows, model, declared=F.col("said"), host=F.col("host"))
+    return found.where("accepted").select("row.*")
+
+
 def markup_language(html: str) -> Column:
     """The language subtag that a page's html element declares, or null."""
     found = F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
