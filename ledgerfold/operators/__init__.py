@@ -1 +1 @@
-
+"""Operators over command logs, states, shard catalogs, transactions and histories."""

@@ -1 +1 @@
-
+"""Command logs, transactions and catalogs from tables; versioned tables on disk."""
