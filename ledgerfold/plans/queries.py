@@ -106,13 +106,13 @@ def session_answers(spark, sf_dir):
 def batch(spark, sf_dir):
     lines = _positioned(_lines(spark, sf_dir)).select(F.col("txid").alias("batch"), "pos", "key")
     ok = lines.join(_parts(spark, sf_dir), "key", "left").select("batch", "pos", (F.coalesce("value", F.lit(99)) <= 40).alias("ok"))
-    return writes.verdicts_of(ok)
+    return writes.verdicts_of(ok).fillna(-1, ["failed_check"])
 
 
 def batch_checks(spark, sf_dir):
     lines = _positioned(_lines(spark, sf_dir))
     checks = lines.select(F.col("txid").alias("batch"), "pos", "key", F.col("l_quantity").cast("int").alias("expected"))
-    return writes.batch_verdicts(checks, _parts(spark, sf_dir))
+    return writes.batch_verdicts(checks, _parts(spark, sf_dir)).fillna(-1, ["failed_check"])
 
 
 def batch_normalised(spark, sf_dir):
@@ -199,13 +199,13 @@ def _write_sets(spark, sf_dir):
 
 
 def validate_occ(spark, sf_dir):
-    return transactions.validate(_write_sets(spark, sf_dir), _parts(spark, sf_dir))
+    return transactions.validate(_write_sets(spark, sf_dir), _parts(spark, sf_dir)).fillna(-1, ["failed"])
 
 
 def prewrite(spark, sf_dir):
     held = _locks(spark, sf_dir).where("txid % 50 = 0").groupBy("key").agg(F.min("txid").alias("txid"))
     decided = commands.decisions(table(spark, sf_dir, "orders")).where("txid % 5 = 0")
-    return transactions.prewrite(_write_sets(spark, sf_dir), held, _parts(spark, sf_dir), decided)
+    return transactions.prewrite(_write_sets(spark, sf_dir), held, _parts(spark, sf_dir), decided).fillna(-1, ["failed"])
 
 
 def quorum(spark, sf_dir):
@@ -345,9 +345,9 @@ SELECT coalesce(x.key, y.key) AS key, x.value AS left_value, y.value AS right_va
     "session": f"WITH {_SESSION} SELECT idx, client, seq, cmd, verdict FROM j",
     "session_answers": f"""WITH {_SESSION}, r AS (SELECT client, seq, CASE WHEN cmd = 'error' THEN 'MISMATCH' ELSE 'OK' END AS first_code FROM j WHERE verdict = 'applied')
 SELECT idx, client, seq, CASE WHEN verdict IN ('stale', 'reused') THEN 'INVALID' ELSE first_code END AS code, verdict = 'replayed' AS deduplicated FROM j LEFT JOIN r USING (client, seq)""",
-    "batch": f"WITH {_LINES} SELECT txid AS batch, bool_and(coalesce(p_size, 99) <= 40) AS applied, min(CASE WHEN coalesce(p_size, 99) > 40 THEN pos END) AS failed_check FROM li LEFT JOIN part ON p_partkey = key GROUP BY txid",
+    "batch": f"WITH {_LINES} SELECT txid AS batch, bool_and(coalesce(p_size, 99) <= 40) AS applied, coalesce(min(CASE WHEN coalesce(p_size, 99) > 40 THEN pos END), -1) AS failed_check FROM li LEFT JOIN part ON p_partkey = key GROUP BY txid",
     "batch_checks": f"""WITH {_LINES}, k AS (SELECT txid, pos, CAST(l_quantity AS INT) IS NOT DISTINCT FROM p_size AS ok FROM li LEFT JOIN part ON p_partkey = key)
-SELECT txid AS batch, bool_and(ok) AS applied, min(CASE WHEN NOT ok THEN pos END) AS failed_check FROM k GROUP BY txid""",
+SELECT txid AS batch, bool_and(ok) AS applied, coalesce(min(CASE WHEN NOT ok THEN pos END), -1) AS failed_check FROM k GROUP BY txid""",
     "batch_normalised": f"""WITH {_LINES} SELECT txid AS batch, key, bool_or(kind = 'LOCK_ONLY') AS checked, arg_min(l_quantity, CASE WHEN kind = 'LOCK_ONLY' THEN pos END) AS expected,
 bool_or(kind <> 'LOCK_ONLY') AS written, arg_max(l_quantity, CASE WHEN kind <> 'LOCK_ONLY' THEN pos END) AS value FROM li GROUP BY txid, key""",
     "route": f"WITH {_LOG}, {_state_sql('s')}, {_CATALOG} SELECT key, value, shard_id FROM s JOIN c ON key >= lo AND (hi IS NULL OR key < hi)",
@@ -372,11 +372,11 @@ FROM lk LEFT JOIN de USING (txid)""",
     "blocking_lock": f"WITH {_LINES} SELECT key, txid, kind FROM lk WHERE key >= 100 AND key < 200 AND kind <> 'LOCK_ONLY' ORDER BY key, txid LIMIT 1",
     "locked_writes": f"""WITH {_LINES}, h AS (SELECT key, min(txid) AS holder FROM lk WHERE txid % 10 = 0 GROUP BY key)
 SELECT txid AS command, arg_min(key, pos) AS key, arg_min(holder, pos) AS holder FROM li JOIN h USING (key) WHERE txid % 10 = 1 GROUP BY txid""",
-    "validate_occ": f"""WITH {_LINES}, {_SETS} SELECT txid, bool_and(expected IS NOT DISTINCT FROM cur) AS valid, min(CASE WHEN expected IS DISTINCT FROM cur THEN pos END) AS failed FROM ws WHERE validate GROUP BY txid""",
+    "validate_occ": f"""WITH {_LINES}, {_SETS} SELECT txid, bool_and(expected IS NOT DISTINCT FROM cur) AS valid, coalesce(min(CASE WHEN expected IS DISTINCT FROM cur THEN pos END), -1) AS failed FROM ws WHERE validate GROUP BY txid""",
     "prewrite": f"""WITH {_LINES}, {_SETS}, h AS (SELECT key, min(txid) AS holder FROM lk WHERE txid % 50 = 0 GROUP BY key),
 x AS (SELECT txid, pos, CASE WHEN holder IS NOT NULL AND holder <> txid THEN 'LOCKED' WHEN validate AND expected IS DISTINCT FROM cur THEN 'VALIDATION_FAILED' END AS code FROM ws LEFT JOIN h USING (key)),
 g AS (SELECT txid, arg_min(code, CASE WHEN code IS NOT NULL THEN pos END) AS code, min(CASE WHEN code IS NOT NULL THEN pos END) AS failed FROM x GROUP BY txid)
-SELECT txid, CASE WHEN decision IS NOT NULL THEN 'ABORTED' ELSE coalesce(code, 'OK') END AS code, CASE WHEN decision IS NULL THEN failed END AS failed
+SELECT txid, CASE WHEN decision IS NOT NULL THEN 'ABORTED' ELSE coalesce(code, 'OK') END AS code, coalesce(CASE WHEN decision IS NULL THEN failed END, -1) AS failed
 FROM g LEFT JOIN (SELECT * FROM de WHERE txid % 5 = 0 AND decision IS NOT NULL) d USING (txid)""",
     "quorum": """WITH m AS (SELECT l_orderkey AS grp, l_linenumber AS peer, max(l_partkey) AS match_index FROM lineitem GROUP BY 1, 2),
 r AS (SELECT grp, match_index, row_number() OVER (PARTITION BY grp ORDER BY match_index DESC, peer) AS i, count(*) OVER (PARTITION BY grp) AS n FROM m)
