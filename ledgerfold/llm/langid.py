@@ -67,11 +67,19 @@ def _pieces(text: str) -> Iterator[str]:
 def fit(labelled: DataFrame, languages: int = 64, per_language: int = 2000, least_rows: int = 3) -> Model:
     """Trigram model of (doc_id, text, lang) rows; the sample is the first rows of each label by a hash of the id."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows)
+    kept = counts.orderBy(F.desc("n"), "lang").limit(languages).collect()
+    if not kept:
+        return Model((), np.zeros((_BINS, 0), np.float32))
+    # A label's rows below a hash are about twice those wanted, however many it has; the first of them are taken.
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    drawn = F.lit(False)
+    for r in kept:
+        drawn = drawn | ((F.col("lang") == r["lang"]) & (draw < min(1 << 30, 2 * per_language * (1 << 30) // r["n"] + 1)))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language)
-    kept = ids.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows).orderBy(F.desc("n"), "lang").limit(languages)
+    ids = known.where(drawn).select("doc_id", "lang").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language)
     # At most languages * per_language rows.
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids.join(kept, "lang").select("doc_id", "lang")), ["doc_id", "lang"])
+    sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"])
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -83,8 +91,8 @@ def fit(labelled: DataFrame, languages: int = 64, per_language: int = 2000, leas
                 at = np.flatnonzero(n)
                 yield pd.DataFrame({"lang": lang, "bin": at, "n": n[at]})
 
-    counts = sample.mapInPandas(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    got = counts.toPandas()  # at most languages * _BINS rows
+    bins = sample.mapInPandas(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    got = bins.toPandas()  # at most languages * _BINS rows
     names = tuple(sorted(got["lang"].unique()))
     table = np.full((_BINS, len(names)), 0.1, np.float64)
     for k, name in enumerate(names):
