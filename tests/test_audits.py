@@ -1,0 +1,69 @@
+from ledgerfold.operators import audits, metrics
+
+
+def op(kind, invoke, ret, value=None, expected=None, observed=None, applied=True, completed=True):
+    return {"kind": kind, "value": value, "expected": expected, "observed": observed, "applied": applied, "completed": completed, "invoke": invoke, "ret": ret}
+
+
+def test_register_histories():
+    ok = audits.linearizable
+    assert ok([])
+    assert ok([op("put", 0, 1, "a"), op("get", 2, 3, observed="a")])
+    assert not ok([op("put", 0, 1, "a"), op("put", 2, 3, "b"), op("get", 4, 5, observed="a")])
+    assert ok([op("put", 0, 9, "a"), op("get", 1, 2, observed="a"), op("get", 3, 4, observed="a")])
+    assert not ok([op("put", 0, 9, "a"), op("get", 1, 2, observed="a"), op("get", 3, 4, observed=None)])
+    assert ok([op("put", 0, 0, "a", completed=False), op("get", 5, 6, observed="a")])
+    assert ok([op("put", 0, 0, "a", completed=False), op("get", 5, 6, observed=None)])
+    assert not ok([op("put", 0, 0, "a", completed=False), op("get", 5, 6, observed="a"), op("get", 7, 8, observed=None)])
+    both = [op("cas", 1, 5, "x", None, applied=True), op("cas", 2, 6, "y", None, applied=True)]
+    assert not ok(both)
+    assert ok([both[0], op("cas", 2, 6, "y", None, observed="x", applied=False)])
+    assert ok([op("put", 0, 1, "a"), op("cas", 2, 3, "b", "a"), op("get", 4, 5, observed="b")])
+    assert ok([op("put", i, i + 50, str(i)) for i in range(12)] + [op("get", 100, 101, observed="never")], budget=10) is None
+
+
+def test_check_history_rejects_a_stale_read(spark):
+    good = audits.generated_history(spark, rounds=10)
+    assert {r["linearizable"] for r in audits.check_history(good).collect()} == {True}
+    bad = [(0, "put", "k", "a", None, True, None, True, 0, 1), (0, "put", "k", "b", None, True, None, True, 2, 3), (1, "get", "k", None, None, True, "a", True, 4, 5)]
+    broken = spark.createDataFrame(bad, audits.HISTORY)
+    assert [r["linearizable"] for r in audits.check_history(broken).collect()] == [False]
+    assert audits.describe(broken).first()["text"].splitlines()[2] == "t1 get - [4,5]"
+
+
+def test_consensus_audits(spark):
+    m = spark.createDataFrame([(1, 1, 5), (1, 2, 9), (1, 3, 7), (2, 1, 4), (2, 2, 8)], "grp int, peer int, match_index long")
+    assert {r["grp"]: r["commit_candidate"] for r in audits.commit_candidate(m).collect()} == {1: 7, 2: 4}
+    log = spark.createDataFrame([(1, 7, 3), (2, 4, 1)], "grp int, idx long, term long")
+    terms = spark.createDataFrame([(1, 3), (2, 2)], "grp int, term long")
+    assert {r["grp"]: r["commit_index"] for r in audits.commit_index(m, log, terms).collect()} == {1: 7, 2: None}
+    acks = spark.createDataFrame([("x", 1), ("x", 2), ("y", 1), ("y", 1)], "context string, peer int")
+    assert [r["context"] for r in audits.acknowledged(acks, 3).collect()] == ["x"]
+    nodes = spark.createDataFrame([(1, 1, 9, 2), (1, 2, 4, 3), (1, 3, 3, 3)], "grp int, node int, idx long, term long")
+    assert audits.more_up_to_date(nodes).first()["node"] == 2
+    leaders = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (2, 2)], "term int, leader int")
+    assert [r["term"] for r in audits.two_leaders(leaders).collect()] == [2]
+    logs = spark.createDataFrame([(1, n, i, 1, "p" if (n, i) != (2, 2) else "q") for n in (1, 2, 3) for i in (1, 2)], "grp int, node int, idx long, term int, payload string")
+    assert audits.first_divergence(logs).first()["idx"] == 2 and audits.unmatched(logs).first()["idx"] == 2
+    own = spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (3, 1, "c")], "idx long, term int, payload string")
+    sent = spark.createDataFrame([(2, 2, "B")], "idx long, term int, payload string")
+    assert [(r["idx"], r["payload"]) for r in audits.merge_suffix(own, sent).orderBy("idx").collect()] == [(1, "a"), (2, "B")]
+    same = spark.createDataFrame([(2, 1, "b")], "idx long, term int, payload string")
+    assert audits.merge_suffix(own, same).count() == 3
+    seen = spark.createDataFrame([(1, 1, 0, 1, "a"), (1, 1, 1, 1, "a"), (1, 1, 0, 2, "b"), (1, 1, 1, 2, "c")], "term int, leader int, at int, idx long, payload string")
+    assert [r["idx"] for r in audits.rewritten(seen).collect()] == [2]
+    committed = spark.createDataFrame([(1, 1), (2, 1)], "idx long, term int")
+    held = spark.createDataFrame([(2, 1, 1)], "term_led int, idx long, term int")
+    led = spark.createDataFrame([(2,)], "term_led int")
+    assert [r["idx"] for r in audits.incomplete_leaders(committed, held, led).collect()] == [2]
+    applied = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b")], "idx long, payload string")
+    assert [r["idx"] for r in audits.applied_twice(applied).collect()] == [2]
+    state = spark.createDataFrame([(1000.0,), (250.5,)], "value double")
+    assert audits.conserved(state, state).first()["conserved"]
+
+
+def test_percentiles_pick_positions(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in [4, 1, 3, 2, 2]] + [("b", 7.0)], "g string, v double")
+    got = {r["g"]: (r["p50"], r["p99"]) for r in metrics.percentiles(df, "g", "v", {"p50": 0.5, "p99": 0.99}).collect()}
+    assert got == {"a": (2.0, 4.0), "b": (7.0, 7.0)}
+    assert metrics.repeats(df, "g", "v").where("g = 'a'").first()["spread"] == 1.5
