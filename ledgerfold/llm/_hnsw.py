@@ -97,6 +97,34 @@ def _link_back(x: np.ndarray, links: np.ndarray, source: np.ndarray, target: np.
         links[nodes[part]] = _select(x, own, np.where(own >= 0, sims, -np.inf).astype(np.float32), most)
 
 
+def _connect(x: np.ndarray, links: np.ndarray, entry: int, spare: int = 8) -> np.ndarray:
+    """Links with which every node is reached from the entry: a lost node hangs on the nearest one that has room."""
+    links = np.concatenate([links, np.full((len(links), spare), -1, np.int32)], 1)
+    room = np.full(len(x), spare)
+    seen = np.zeros(len(x), bool)
+    front = np.array([entry])
+    while True:
+        while len(front):
+            seen[front] = True
+            near = np.unique(links[front])
+            near = near[near >= 0]
+            front = near[~seen[near]]
+        lost = np.flatnonzero(~seen)
+        if not len(lost):
+            return links
+        free = np.flatnonzero(seen & (room > 0))
+        best = np.concatenate([free[(x[lost[at : at + 256]] @ x[free].T).argmax(1)] for at in range(0, len(lost), 256)])
+        order = np.argsort(best, kind="stable")
+        lost, best = lost[order], best[order]
+        _, start, count = np.unique(best, return_index=True, return_counts=True)
+        rank = np.arange(len(best)) - np.repeat(start, count)
+        keep = rank < room[best]
+        lost, best, rank = lost[keep], best[keep], rank[keep]
+        links[best, links.shape[1] - room[best] + rank] = lost
+        np.subtract.at(room, best, 1)
+        front = lost
+
+
 def build(x: np.ndarray, width: int = 48) -> list[np.ndarray]:
     """Links of all levels of the graph of unit vectors ``x``, the top level last; the entry has the most levels."""
     n = len(x)
@@ -131,6 +159,7 @@ def build(x: np.ndarray, width: int = 48) -> list[np.ndarray]:
             levels[k][batch[mine], :LINKS] = nb
             rows, cols = np.nonzero(nb >= 0)
             _link_back(x, levels[k], batch[mine][rows], nb[rows, cols])
+    levels[0] = _connect(x, levels[0], entry)
     return levels + [np.array([[entry]], np.int32)]
 
 
@@ -145,13 +174,17 @@ def search(x: np.ndarray, graph: list[np.ndarray], q: np.ndarray, width: int, le
         for links in levels[:0:-1]:
             ids, sims = beam(x, links, q[rows], start, 4)
             start = np.take_along_axis(ids, np.argsort(-sims, axis=1), 1)
-        now = min(width, len(x))
+        now = width
         while len(rows):
+            if now >= len(x):  # the beam would hold every node
+                r, c = np.nonzero(q[rows] @ x.T >= least)
+                pairs.append((rows[r], c.astype(np.int64)))
+                break
             ids, sims = beam(x, levels[0], q[rows], start, now)
-            full = (sims.min(1) >= least) & (now < len(x))
+            full = sims.min(1) >= least
             r, c = np.nonzero((sims >= least) & ~full[:, None])
             pairs.append((rows[r], ids[r, c].astype(np.int64)))
-            rows, start, now = rows[full], ids[full], min(2 * now, len(x))
+            rows, start, now = rows[full], ids[full], 2 * now
     return np.concatenate([p for p, _ in pairs]), np.concatenate([p for _, p in pairs])
 
 
