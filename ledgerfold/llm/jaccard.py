@@ -1,10 +1,11 @@
 """N-gram Jaccard join by T-occurrence search.
 
 A document is the set of its word shingles. A partner has to share T of a document's n shingles, so
-it occurs in at least one of the lists of any n - T + 1 of them. As in DivideSkip, the long lists
+it occurs in at least m of the lists of any n - T + m of them. As in DivideSkip, the long lists
 stand last in that choice: shingles that are frequent in some batch of documents are set aside, the
-short lists of the others are merged (here by the shuffle's sort), and the sets of candidates are
-probed by binary search. Which lists count as long decides the work, never the result.
+short lists of the others are merged (here by the shuffle's sort) and occurrences counted, a
+document's long lists count as if they held the partner, and the sets of the candidates that can
+still reach m are probed by binary search. Which lists are long decides the work, never the result.
 
 Documents with equal sets form a class and are searched once. Components are what is asked for, so
 in a list of more than ``merged`` documents each is first compared with a pivot alone; once those
@@ -85,7 +86,7 @@ def _prefixes(k: int, frequent: np.ndarray, num: int, den: int):
                     at = np.minimum(np.searchsorted(frequent, s), max(len(frequent) - 1, 0))
                     late = frequent[at] == s if len(frequent) else np.zeros(n, bool)
                     ordered = np.concatenate([s[~late], s[late]])
-                    prefixes.append(ordered[: n + 1 - -(-num * n // den)].view(np.int64))
+                    prefixes.append(ordered[: n - -(-num * n // den) + int(_needed(n))].view(np.int64))
                     odd = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=64 * _SKETCH) & 1
                     sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 else:
@@ -124,24 +125,38 @@ def _values(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def _batches(h: list, a: list, b: list) -> pa.RecordBatch:
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    h, a, b = join(h), join(a), join(b)
-    pair = h == 0
-    # Pairs that several lists of this task gave are one pair.
-    _, first = np.unique(np.column_stack([a[pair], b[pair]]), axis=0, return_index=True)
-    keep = np.concatenate([np.flatnonzero(pair)[first], np.flatnonzero(~pair)])
-    return pa.RecordBatch.from_arrays([pa.array(x[keep], pa.int64()) for x in (h, a, b)], ["h", "a", "b"])
+def _needed(n):
+    """How many of the merged lists a partner has to share with a set of ``n`` shingles."""
+    return 1 + n // 64
+
+
+def _rows(h: list, a: list, b: list, c: list, needed: list) -> pa.RecordBatch:
+    """Rows (h, a, b, c, needed); those of a pair (h 0) are summed up."""
+    h, a, b, c, needed = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, a, b, c, needed))
+    pair = np.flatnonzero(h == 0)
+    pair = pair[np.lexsort((b[pair], a[pair]))]
+    first = np.flatnonzero(np.append(True, (np.diff(a[pair]) != 0) | (np.diff(b[pair]) != 0))) if len(pair) else pair
+    keep = np.concatenate([pair[first], np.flatnonzero(h != 0)])
+    counts = c[keep]
+    if len(pair):
+        counts[: len(first)] = np.add.reduceat(c[pair], first)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h[keep], a[keep], b[keep], counts, needed[keep])], ["h", "a", "b", "c", "needed"])
 
 
 def _merge_lists(merged: int, num: int, den: int):
-    """From postings (h, doc, n, weight) sorted by h: pairs to verify (h 0), and the rows of longer lists (b 0)."""
+    """From postings (h, doc, n, weight) sorted by h: rows (h, a, b, c, needed).
+
+    With h 0, a pair, the number of short lists that both are in, and how many they need. Otherwise the
+    list h is long and holds document a; its documents are paired with a pivot, that counts for nothing.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, a, b, held = [], [], [], 0
+        out: list[list] = [[], [], [], [], []]
+        held = 0
         for shingle, doc, n, weight in _by_list(batches, ["h", "doc", "n", "weight"], 1 << 16):
             k = len(doc)
-            if k <= merged:
+            short = k <= merged
+            if short:
                 i, j = np.triu_indices(k, 1)
             else:
                 rest, i, j = np.lexsort((doc, n, -weight)), [], []
@@ -153,35 +168,34 @@ def _merge_lists(merged: int, num: int, den: int):
                     near[0] = True
                     rest = rest[~near]
                 i, j = np.concatenate(i), np.concatenate(j)
-                h.append(np.where(shingle == 0, 1, shingle))
-                a.append(doc)
-                b.append(np.zeros(k, np.int64))
+                none = np.zeros(k, np.int64)
+                for x, new in zip(out, (np.where(shingle == 0, 1, shingle), doc, none, none, none), strict=True):
+                    x.append(new)
                 held += k
             fits = np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num
-            i, j = doc[i[fits]], doc[j[fits]]
-            h.append(np.zeros(len(i), np.int64))
-            a.append(np.minimum(i, j))
-            b.append(np.maximum(i, j))
+            i, j = i[fits], j[fits]
+            none, low, high = np.zeros(len(i), np.int64), np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
+            for x, new in zip(out, (none, low, high, none + short, _needed(np.minimum(n[i], n[j]))), strict=True):
+                x.append(new)
             held += len(i)
             if held > 1 << 18:
-                yield _batches(h, a, b)
-                h, a, b, held = [], [], [], 0
-        yield _batches(h, a, b)
+                yield _rows(*out)
+                out, held = [[], [], [], [], []], 0
+        yield _rows(*out)
 
     return work
 
 
 def _still_apart(num: int, den: int):
-    """From rows (h, doc, n, component, sketch) sorted by h: pairs of different components that may link.
+    """From rows (h, doc, n, long, component, sketch) sorted by h: pairs of different components that may link.
 
     Here h names two blocks of a list, so that the rows of one h are bounded.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, a, b, held = [], [], [], 0
-        for _, doc, n, component, sketch in _by_list(batches, ["h", "doc", "n", "component", "sketch"]):
+        for _, doc, n, long, component, sketch in _by_list(batches, ["h", "doc", "n", "long", "component", "sketch"]):
             order = np.argsort(n, kind="stable")
-            doc, n, component, sketch = doc[order], n[order], component[order], sketch[order]
+            doc, n, long, component, sketch = doc[order], n[order], long[order], component[order], sketch[order]
             last = np.searchsorted(n * num, n * den, side="right")  # no larger set than this fits
             step = max(1, (1 << 19) // len(doc))
             for at in range(0, len(doc), step):
@@ -192,16 +206,12 @@ def _still_apart(num: int, den: int):
                 may = (total - differ) * (num + den) >= 2 * num * total
                 may &= (component[rows][:, None] != component[cols][None]) & (cols[None] > rows[:, None])
                 may &= n[rows][:, None] * den >= n[cols][None] * num
+                may &= np.minimum(long[rows][:, None], long[cols][None]) >= _needed(n[rows])[:, None]
                 i, j = np.nonzero(may)
                 i, j = doc[rows[i]], doc[cols[j]]
-                h.append(np.zeros(len(i), np.int64))
-                a.append(np.minimum(i, j))
-                b.append(np.maximum(i, j))
-                held += len(i)
-                if held > 1 << 18:
-                    yield _batches(h, a, b)
-                    h, a, b, held = [], [], [], 0
-        yield _batches(h, a, b)
+                if len(i):
+                    both = np.unique(np.column_stack([np.minimum(i, j), np.maximum(i, j)]), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     return work
 
@@ -298,10 +308,21 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, merge
     reps = materialize(prefixes.join(weights, "doc").dropDuplicates(["doc", "n", "sketch", "prefix"]), "prefixes")
     postings = reps.select(F.explode("prefix").alias("h"), "doc", "n", "weight")
     merged_lists = materialize(
-        postings.repartition("h").sortWithinPartitions("h").mapInArrow(_merge_lists(merged, num, den), "h long, a long, b long"), "lists"
+        postings.repartition("h").sortWithinPartitions("h").mapInArrow(
+            _merge_lists(merged, num, den), "h long, a long, b long, c long, needed long"
+        ),
+        "lists",
+    )
+    in_long = materialize(merged_lists.where("h <> 0").groupBy(F.col("a").alias("doc")).agg(F.count("*").alias("long")), "long")
+    # A pair shares at most as many long lists as each of its documents is in.
+    shared = merged_lists.where("h = 0 and a < b").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("needed").alias("needed"))
+    pairs = materialize(
+        shared.join(in_long.withColumnsRenamed({"doc": "a", "long": "l_a"}), "a", "left")
+        .join(in_long.withColumnsRenamed({"doc": "b", "long": "l_b"}), "b", "left")
+        .where("c + least(coalesce(l_a, 0), coalesce(l_b, 0)) >= needed").select("a", "b", "c"),
+        "pairs",
     )
-    pairs = materialize(merged_lists.where("h = 0 and a < b").select("a", "b").distinct(), "pairs")
-    first = _links(texts, reps, pairs, k, num, den)
+    first = _links(texts, reps, pairs.select("a", "b"), k, num, den)
 
     known = connected_components(first).withColumnsRenamed({"node": "doc"})
     long = merged_lists.where("h <> 0").select("h", F.col("a").alias("doc"))
@@ -315,10 +336,11 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, merge
     in_blocks = long.join(apart.select("h", "blocks"), "h").withColumn("own", own).withColumn("other", other)
     rest = (
         in_blocks.withColumn("h", F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")))
-        .select("h", "doc", "component").join(reps.select("doc", "n", "sketch"), "doc")
-        .repartition("h").sortWithinPartitions("h").select("h", "doc", "n", "component", "sketch")
-        .mapInArrow(_still_apart(num, den), "h long, a long, b long").where("a < b").select("a", "b").distinct()
+        .select("h", "doc", "component").join(reps.select("doc", "n", "sketch"), "doc").join(in_long, "doc")
+        .repartition("h").sortWithinPartitions("h").select("h", "doc", "n", "long", "component", "sketch")
+        .mapInArrow(_still_apart(num, den), "a long, b long").where("a < b").distinct()
     )
+    # Pairs that share a short list too were decided above.
     second = _links(texts, reps, rest.join(pairs, ["a", "b"], "left_anti"), k, num, den)
 
     found = connected_components(first.union(second)).withColumnsRenamed({"node": "doc"})
