@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _RNG = np.random.Generator(np.random.PCG64(20))
 _BYTE = _RNG.integers(1, 2**64, 256, np.uint64) | np.uint64(1)
@@ -18,6 +19,13 @@ _LOWER[65:91] += 32
 _BLOCK = 1 << 20
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in smaller pieces, so that a task holds few texts as Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads them."""
     x = x ^ (x >> np.uint64(33))
@@ -56,9 +64,13 @@ def _hash_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix(np.add.reduceat(value, first) + size.astype(np.uint64) * _SLOT[63]), starts
 
 
-def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
+def utf8(text: str | None) -> bytes:
+    return b"" if text is None else text.encode("utf-8", "surrogatepass")
+
+
+def word_hashes(texts: list[str | None] | list[bytes]) -> Iterator[np.ndarray]:
     """For each text, the hashes of its words ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered. Null: none."""
-    raws = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+    raws = [t if isinstance(t, bytes) else utf8(t) for t in texts]
     i = 0
     while i < len(raws):
         j, total = i, 0

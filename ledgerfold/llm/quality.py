@@ -19,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm._text import mix, word_hashes
+from ledgerfold.llm._text import mix, slices, utf8, word_hashes
 
 _BITS = 18
 _TRAITS = 64
@@ -37,7 +38,8 @@ class Model:
 def _features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Bins and values of each text: words by presence, traits by their share of the words."""
     base = 1 << _BITS
-    for text, words in zip(texts, word_hashes(texts), strict=True):
+    raws = [utf8(t) for t in texts]
+    for raw, words in zip(raws, word_hashes([r.translate(_BARE) for r in raws]), strict=True):
         n = len(words)
         if not n:
             yield np.zeros(0, np.int64), np.zeros(0)
@@ -45,8 +47,7 @@ def _features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]
         bins, counts = np.unique((mix(words) >> np.uint64(64 - _BITS)).astype(np.int64), return_counts=True)
         same = np.count_nonzero(words[1:] == words[:-1]) / n
         most = counts.max() / n
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        kinds = np.bincount(_KIND[raw], minlength=8) / len(raw)
+        kinds = np.bincount(_KIND[np.frombuffer(raw, np.uint8)], minlength=8) / len(raw)
         traits = np.concatenate([[same, most, len(bins) / n], kinds])
         yield np.concatenate([bins, base + np.arange(len(traits))]), np.concatenate([np.ones(len(bins)), 3 * traits])
 
@@ -63,6 +64,8 @@ for _c in range(128):
         _KIND[_c] = 3
     elif chr(_c) in ".,;:!?'\"-()":
         _KIND[_c] = 4
+# Bytes of words as they are, marks and digits as blanks.
+_BARE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -70,12 +73,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def grade(quality: Column, toxic: Column) -> Column:
-    """Ratings on one scale: 0 poor, 1 fluent but toxic, 2 good; null if a rating is."""
-    return F.when(quality.isNull() | toxic.isNull(), None).when(quality == 0, 0).when(toxic == 1, 1).otherwise(2)
+    """Ratings on one scale: 0 toxic, 1 poor, 2 good; null if a rating is.
 
+    Toxic words add up without bound, so what has them belongs at an end of the scale.
+    """
+    return F.when(quality.isNull() | toxic.isNull(), None).when(toxic == 1, 0).when(quality == 0, 1).otherwise(2)
 
-def fit(docs: DataFrame, ratings: DataFrame, sample: int = 6000, rounds: int = 200, decay: float = 1e-4) -> Model:
-    """Fit on ``docs`` (doc_id, text) and ``ratings`` (doc_id, grade from 0)."""
+
+def fit(docs: DataFrame, ratings: DataFrame, sample: int = 6000, rounds: int = 300, decay: float = 1e-4, least_z: float = 3.5) -> Model:
+    """Fit on ``docs`` (doc_id, text) and ``ratings`` (doc_id, grade from 0); of equal texts one counts."""
     size = (1 << _BITS) + _TRAITS
     rated = ratings.where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -89,7 +95,7 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = 6000, rounds: int = 2
 
     # At most ``sample`` rows on both sides of this line.
     got = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("copy", F.sha2("text", 256)).dropDuplicates(["copy"])
         .mapInPandas(sparse, "doc_id long, grade int, bins array<int>, x array<float>")
         .orderBy("doc_id").toPandas()
     )
@@ -98,9 +104,14 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = 6000, rounds: int = 2
     if len(np.unique(y)) < 2:
         return Model(np.zeros(size, np.float32), np.linspace(-1, 0, max(top, 1)))
     row = np.repeat(np.arange(len(y)), [len(b) for b in got["bins"]])
-    bins, x = np.concatenate(got["bins"].to_list()), np.concatenate(got["x"].to_list()).astype(np.float64)
-    often = np.bincount(bins, minlength=size) >= 5
-    keep = often[bins]
+    bins, x = np.concatenate(got["bins"].to_list()).astype(np.int64), np.concatenate(got["x"].to_list()).astype(np.float64)
+    # Words enter if documents with them are graded unlike the rest, beyond what chance gives many words.
+    df = np.bincount(bins, minlength=size)
+    mean = np.bincount(bins, y[row], size) / np.maximum(df, 1)
+    z = np.abs(mean - y.mean()) * np.sqrt(df) / max(y.std(), 1e-9)
+    enters = (df >= 5) & (z >= least_z)
+    enters[1 << _BITS :] = True
+    keep = enters[bins]
     row, bins, x = row[keep], bins[keep], x[keep]
     cuts = np.array([np.log((np.sum(y <= k) + 1) / (np.sum(y > k) + 1)) for k in range(top)])
     w, m, v = np.zeros(size), np.zeros(size + top), np.zeros(size + top)
@@ -123,16 +134,17 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = 6000, rounds: int = 2
 def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """(doc_id, expected_grade, tail_probability of the top grade, selected) of every document."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            s = np.array([float(model.weights[b] @ x) for b, x in _features(frame["text"].tolist())])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            s = np.array([float(model.weights[b] @ x) for b, x in _features(batch.column("text").to_pylist())])
             above = _sigmoid(s[:, None] - model.thresholds)
             tail = np.round(above[:, -1], 6)
-            yield pd.DataFrame(
-                {"doc_id": frame["doc_id"], "expected_grade": np.round(above.sum(1), 6), "tail_probability": tail, "selected": tail >= least}
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(np.round(above.sum(1), 6)), pa.array(tail), pa.array(tail >= least)],
+                ["doc_id", "expected_grade", "tail_probability", "selected"],
             )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(
+    return docs.select("doc_id", "text").mapInArrow(
         work, f"doc_id {id_type}, expected_grade double, tail_probability double, selected boolean"
     )

@@ -19,7 +19,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = F.aggregate("parts", F.lit(0).cast("long"), lambda acc, x: acc + x["words"])
     return plan.select(
         "doc_id", "size", "source_size", "target",
-        taken.alias("taken"), F.get("parts", 0)["moment"].alias("first_moment"),
+        taken.alias("taken"), F.round(F.get("parts", 0)["moment"], 9).alias("first_moment"),
     ).orderBy(F.col("first_moment").asc_nulls_last(), "doc_id")
 
 
@@ -92,4 +92,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard": op10_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": r"""WITH w AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+  md5(concat('0:', coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS key FROM documents),
+s AS (SELECT source, coalesce('=' || source, '') AS skey, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS k FROM w GROUP BY source),
+r AS (SELECT *, 3 * source_size AS cap, 1000000 * k AS weight, CAST(3 * source_size AS DOUBLE) / CAST(1000000 * k AS DOUBLE) AS ratio FROM s),
+b AS (SELECT *, sum(cap) OVER (ORDER BY ratio, skey ROWS UNBOUNDED PRECEDING) - cap AS cap_before, sum(weight) OVER () - sum(weight) OVER (ORDER BY ratio, skey ROWS UNBOUNDED PRECEDING) + weight AS weight_from,
+  sum(source_size) OVER () AS total FROM r),
+f AS (SELECT *, (total - cap_before) * weight >= cap * weight_from AS is_full FROM b),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE CAST(total - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER () AS DOUBLE) * CAST(weight AS DOUBLE)
+  / CAST(sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER () AS DOUBLE) END AS target, k * (1.5 - (k - 1) / 2.0)::DOUBLE AS w0, k * ((k - 2) * 1.0)::DOUBLE AS dw FROM f),
+p AS (SELECT doc_id, size, source_size, target, w0, dw, sum(size) OVER (PARTITION BY w.source ORDER BY key, size ROWS UNBOUNDED PRECEDING) - size AS start FROM w JOIN t ON w.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN start + e * source_size < target THEN least(size, ceil(target - (start + e * source_size))) ELSE 0 END) AS BIGINT) AS taken,
+  any_value(CASE WHEN start < target THEN round(2 * (start / target * (w0 + dw / 2)) / (w0 + sqrt(greatest(w0 * w0 + 2 * dw * (start / target * (w0 + dw / 2)), 0))), 9) END) AS first_moment
+FROM p, (VALUES (0), (1), (2)) v(e) GROUP BY doc_id, size, source_size, target, start""",
+    "op9_embeddings": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op10_jaccard": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS at FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, at, at + 3), ' ') AS shingle FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM w JOIN r ON r.a = doc_id LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+}
