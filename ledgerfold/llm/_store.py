@@ -19,6 +19,17 @@ def work_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in smaller Arrow batches than the default of 10,000 rows.
+
+    A batch of long texts is held by the JVM, by Arrow and by Python at once. The session keeps the
+    setting, as plans run later; a smaller one of the user's stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, and a lost executor loses nothing."""
     spark = df.sparkSession

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm._store import materialize
-from ledgerfold.llm._text import mix, word_hashes
+from ledgerfold.llm._store import materialize, small_batches
+from ledgerfold.llm._text import mix, slices, word_hashes
 
 #: Positions that a mask looks at.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 7, 9), (0, 2, 3, 6, 8, 9), (0, 1, 4, 6, 7, 9))
@@ -98,7 +98,7 @@ def _document_hits(bitmap: np.ndarray, id_type: pa.DataType):
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, words in zip(batch.column("doc_id").to_pylist(), word_hashes(batch.column("text").to_pylist()), strict=True):
                 if len(words) < SPAN:
@@ -166,6 +166,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, least_words: int = 12, identity:
     ``docs`` has doc_id and text, ``tests`` item_id and text. An overlap has ``least_words`` equal
     words. Columns: doc_id, item_id, same_words, length, doc_at, item_at, item_words.
     """
+    small_batches(docs.sparkSession)
     item_type = tests.schema["item_id"].dataType.simpleString()
     id_type = docs.schema["doc_id"].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}

@@ -2,7 +2,7 @@
 
 A document is the set of its word shingles. A partner has to share T of a document's n shingles, so
 it occurs in at least m of the lists of any n - T + m of them. As in DivideSkip, the long lists
-stand last in that choice: shingles that are frequent in some batch of documents are set aside, the
+stand last in that choice: shingles that are frequent among some thousand documents are set aside, the
 short lists of the others are merged (here by the shuffle's sort) and occurrences counted, a
 document's long lists count as if they held the partner, and the sets of the candidates that can
 still reach m are probed by binary search. Which lists are long decides the work, never the result.
@@ -27,48 +27,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm._store import connected_components, materialize
-from ledgerfold.llm._text import shingles, word_hashes
+from ledgerfold.llm._store import connected_components, materialize, small_batches
+from ledgerfold.llm._text import shingles, slices, word_hashes
 
 #: Most shingles set aside as frequent, a bound of what is broadcast; it shifts work, not results.
 _FREQUENT = 1 << 17
-#: A shingle is reported as frequent if so many different sets of a batch hold it.
-_SEEN = 4
+#: A shingle is reported as frequent if so many different sets hold it among so many documents.
+_SEEN, _SEEN_AMONG = 4, 4096
 _SKETCH = 16  # words of 64 bits
 _MAP_BITS = 1 << 24
 #: Documents of a long list that are compared in one piece with as many others.
 _BLOCK = 8192
 
 
-def _sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
-    for words in word_hashes(texts):
-        yield np.unique(shingles(words, k))
+def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    for at in range(0, len(texts), 512):
+        for words in word_hashes(texts.slice(at, 512).to_pylist()):
+            yield np.unique(shingles(words, k))
 
 
 def _describe(k: int):
-    """(doc_id, n, digest, frequent): the last only on the first row of a batch."""
+    """(doc_id, n, digest, frequent): the last only on the first row of some thousand."""
+
+    def flush(ids: list, sizes: list, digests: list, distinct: dict) -> pa.RecordBatch:
+        frequent: list = [None] * len(sizes)
+        if distinct:
+            values, counts = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
+            often = counts >= _SEEN
+            frequent[0] = [{"shingle": int(v), "n": int(c)} for v, c in zip(values[often].view(np.int64), counts[often], strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [pa.concat_arrays(ids), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()),
+             pa.array(frequent, pa.list_(pa.struct([("shingle", pa.int64()), ("n", pa.int64())])))],
+            ["doc_id", "n", "digest", "frequent"],
+        )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, digests, distinct = [], [], {}
-            for s in _sets(batch.column("text").to_pylist(), k):
+        ids, sizes, digests, distinct = [], [], [], {}
+        for batch in slices(batches):
+            ids.append(batch.column("doc_id"))
+            for s in _sets(batch.column("text"), k):
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None
                 sizes.append(len(s))
                 digests.append(digest)
                 if digest:
                     distinct[digest] = s
-            frequent: list = [None] * len(sizes)
-            if distinct:
-                values, counts = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
-                often = counts >= _SEEN
-                frequent[0] = [
-                    {"shingle": int(v), "n": int(c)} for v, c in zip(values[often].view(np.int64), counts[often], strict=True)
-                ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()),
-                 pa.array(frequent, pa.list_(pa.struct([("shingle", pa.int64()), ("n", pa.int64())])))],
-                ["doc_id", "n", "digest", "frequent"],
-            )
+            if len(sizes) >= _SEEN_AMONG:
+                yield flush(ids, sizes, digests, distinct)
+                ids, sizes, digests, distinct = [], [], [], {}
+        if sizes:
+            yield flush(ids, sizes, digests, distinct)
 
     return work
 
@@ -77,9 +84,9 @@ def _prefixes(k: int, frequent: np.ndarray, num: int, den: int):
     """(doc, n, prefix, sketch): the shingles whose lists are merged, and parities of hashed shingles."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, prefixes, sketches = [], [], []
-            for s in _sets(batch.column("text").to_pylist(), k):
+            for s in _sets(batch.column("text"), k):
                 n = len(s)
                 sizes.append(n)
                 if n:
@@ -238,7 +245,7 @@ def _marked_sets(k: int, marks: np.ndarray):
             part = batch.take(pa.array(chosen))
             for at in range(0, part.num_rows, 512):
                 some = part.slice(at, 512)
-                sets = [s.view(np.int64) for s in _sets(some.column("text").to_pylist(), k)]
+                sets = [s.view(np.int64) for s in _sets(some.column("text"), k)]
                 yield pa.RecordBatch.from_arrays([some.column("doc"), pa.array(sets, pa.list_(pa.int64()))], ["doc", "shingles"])
 
     return work
@@ -287,6 +294,7 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, merge
     Documents link if ``den`` times the intersection of their sets of ``k`` words is at least ``num``
     times the union. component_id is the smallest doc_id that links reach.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(
         texts.mapInArrow(_describe(k), "doc_id long, n long, digest string, frequent array<struct<shingle:long,n:long>>"), "sizes"

@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerfold.llm._store import materialize
+from ledgerfold.llm._store import materialize, small_batches
 
 _BINS = 1 << 16
 _BLOCK = 1 << 19
@@ -66,6 +67,7 @@ def _pieces(text: str) -> Iterator[str]:
 
 def fit(labelled: DataFrame, languages: int = 64, per_language: int = 2000, least_rows: int = 3) -> Model:
     """Trigram model of (doc_id, text, lang) rows; the sample is the first rows of each label by a hash of the id."""
+    small_batches(labelled.sparkSession)
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows)
     kept = counts.orderBy(F.desc("n"), "lang").limit(languages).collect()
@@ -105,18 +107,19 @@ def log_likelihoods(text: Column, model: Model) -> Column:
     """Array of double: the number of trigrams, then the mean log-likelihood by language."""
     width = len(model.languages)
 
-    @F.pandas_udf("array<double>")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
+    @F.arrow_udf("array<double>")
+    def score(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in arrays:
             out = []
-            for text in series:
-                n, total = 0, np.zeros(width)
-                for piece in _pieces(text or ""):
-                    bins = _bins(piece)
-                    n += len(bins)
-                    total += model.log_p[bins].sum(0, dtype=np.float64)
-                out.append([float(n), *(total / max(n, 1))])
-            yield pd.Series(out)
+            for at in range(0, len(texts), 512):
+                for text in texts.slice(at, 512).to_pylist():
+                    n, total = 0, np.zeros(width)
+                    for piece in _pieces(text or ""):
+                        bins = _bins(piece)
+                        n += len(bins)
+                        total += model.log_p[bins].sum(0, dtype=np.float64)
+                    out.append(np.concatenate([[n], total / max(n, 1)]))
+            yield pa.array(out, pa.list_(pa.float64()))
 
     return score(text)
 
@@ -139,6 +142,7 @@ def identify(
     weight: float = 20.0,
 ) -> DataFrame:
     """Adds ``language`` (``und`` if rejected), ``probability`` and ``accepted`` to the rows."""
+    small_batches(rows.sparkSession)
     rows = rows.drop("language", "probability", "accepted")
     if not model.languages:
         return rows.withColumns({"language": F.lit("und"), "probability": F.lit(0.0), "accepted": F.lit(False)})

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerfold.llm._text import slices
+
 # The shapes that have to be found, in the order in which kinds are listed.
 KINDS = ("email", "ip", "card", "phone", "iban", "login")
 BASE = KINDS[:4]
@@ -99,7 +101,7 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     anchors = _anchors()
     span = pa.struct(list(_OUT))
-    for batch in batches:
+    for batch in slices(batches):
         found = [
             [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in find(text or "", anchors)]
             for text in batch.column("text").to_pylist()
@@ -120,7 +122,7 @@ def redact(docs: DataFrame, mark: str = "<{}>") -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = _anchors()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column("text").to_pylist():
                 if text is not None:

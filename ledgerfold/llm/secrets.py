@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerfold.llm._text import slices
+
 Span = tuple[int, int]
 
 # The patterns that the scan has to find.
@@ -77,7 +79,7 @@ def _scanner(rules):
     by_name = {f"{name}@{version}": (k, name, scan) for k, (name, version, scan) in enumerate(rules)}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for text, todo in zip(batch.column("text").to_pylist(), batch.column("todo").to_pylist(), strict=True):
                 hits = [(s, k, e, name) for k, name, f in (by_name[x] for x in todo) for s, e in f(text or "")]
