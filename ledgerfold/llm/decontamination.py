@@ -67,7 +67,7 @@ def _bitmap(tests: DataFrame) -> np.ndarray:
     """Two bits for each test hash, in 64-bit words; at most _LARGEST_BITMAP bits."""
     n = tests.count()
     bits = 1 << 16
-    while bits < min(64 * n, _LARGEST_BITMAP):
+    while bits < min(1024 * n, _LARGEST_BITMAP):
         bits *= 2
     low = F.expr(f"hash & {bits - 1}")
     high = F.expr(f"shiftrightunsigned(hash, 32) & {bits - 1}")
