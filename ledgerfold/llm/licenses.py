@@ -2,8 +2,8 @@
 
 The templates' words are the vocabulary; its document frequencies come from all texts, and any other
 word weighs like one that no text holds. Each line is a sparse vector, and a line whose cosine with
-a template reaches ``threshold`` carries that licence. Only lines with two rare words of a template
-are compared. A document of which a tenth or more is licence text is a licence file: it covers its directory and all
+a template reaches ``threshold`` carries that licence. Lines that hold too few of a template's
+heaviest words to reach it are not compared, however frequent those words are. A document of which a tenth or more is licence text is a licence file: it covers its directory and all
 below, and a document without a licence of its own inherits from the nearest directory above.
 
 Paths are joined directory by directory, not file by file, so a directory that holds a third of all
@@ -17,6 +17,8 @@ the result is empty. Other columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,8 +60,31 @@ def _vocabulary(spark, templates) -> DataFrame:
     return rows.select("template", "licence", F.explode(_tokens(F.col("notice"))).alias("word"))
 
 
+def _heaviest(weights: dict[str, float], threshold: float) -> tuple[list[str], int]:
+    """The fewest words of a template of which a line has to hold two (or one, the number returned) to reach ``threshold``.
+
+    By Cauchy and Schwarz the squared cosine is at most the share of the template's squared norm that
+    the line's words hold, so what it lacks may be a share of 1 - threshold^2 at most. Scores are
+    rounded to six places before they are compared.
+    """
+    order = sorted(weights, key=lambda w: (-weights[w], w))
+    squares = [weights[w] ** 2 for w in order]
+    may_lack = (1 - max(threshold - 1e-6, 0.0) ** 2) * sum(squares) * (1 + 1e-9)
+    for k in (2, 1):
+        lacked = 0.0
+        # A line with k - 1 of the words may hold the heaviest.
+        for i, x in enumerate(squares[k - 1 :], k):
+            lacked += x
+            if lacked > may_lack:
+                return order[:i], k
+    return order, 1
+
+
 def detect(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.7, rare: float = 0.05) -> DataFrame:
-    """(doc_id, licence, score, part) of the documents that carry a licence; part is its share of the text's words."""
+    """(doc_id, licence, score, part) of the documents that carry a licence; part is its share of the text's words.
+
+    ``rare`` is left for callers that give it; no word is left out for being frequent.
+    """
     spark = docs.sparkSession
     # Bounded by the fixed list of templates.
     words = [r[0] for r in _vocabulary(spark, templates).select("word").distinct().orderBy("word").collect()]
@@ -69,18 +94,32 @@ def detect(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.7, rare: f
     df = held.groupBy("word").agg(F.count("*").alias("df"))
     known = spark.createDataFrame([(w,) for w in words], "word string").join(df, "word", "left").fillna(0, ["df"])
     n = docs.count()
-    idf = known.select("word", "df", F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)).alias("idf"))
+    # A word of all texts weighs as if half a text lacked it, so that a template of such words has a norm.
+    idf = known.select("word", F.log((F.lit(n) + 1.0) / F.least(F.col("df") + 1.0, F.lit(n) + 0.5)).alias("idf"))
     idf = materialize(idf, "idf")
     most = math.log(n + 1.0)
-    rare_words = [r[0] for r in idf.where(F.col("df") <= rare * max(n, 20)).select("word").orderBy("word").collect()]
-    few = F.array(*(F.lit(w) for w in rare_words)).cast("array<string>")
-    has_two = lambda tokens: F.size(F.array_intersect(tokens, few)) >= 2
+    t = _vocabulary(spark, templates).groupBy("template", "licence", "word").agg(F.count("*").alias("tf")).join(idf, "word").withColumn("y", F.col("tf") * F.col("idf"))
+    norms = t.groupBy("template", "licence").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("t_norm"))
+    t = materialize(t.select("template", "licence", "word", "y").join(norms, ["template", "licence"]), "templates")
+    weights: dict[int, dict[str, float]] = {}
+    for r in t.select("template", "word", "y").collect():
+        weights.setdefault(r["template"], {})[r["word"]] = r["y"]
+    needs = [_heaviest(w, threshold) for w in weights.values()]
+    least = min((k for _, k in needs), default=1)
+    array = lambda ws: F.array(*(F.lit(w) for w in ws)).cast("array<string>")
+    heavy = array(sorted({w for ws, _ in needs for w in ws}))
+
+    def may_reach(tokens: Column) -> Column:
+        held = F.array_intersect(tokens, heavy)
+        enough = lambda h: reduce(or_, (F.size(F.array_intersect(h, array(ws))) >= k for ws, k in needs), F.lit(False))
+        # The one-element array binds what is held once for all templates.
+        return (F.size(held) >= least) & F.exists(F.array(held), enough)
 
     lines = (
-        texts.where(has_two(_tokens(F.col("text"))))
+        texts.where(may_reach(_tokens(F.col("text"))))
         .select("doc_id", F.size(_tokens(F.col("text"))).alias("words"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
         .select("doc_id", "words", "line", _tokens(F.col("content")).alias("tokens"))
-        .where(has_two(F.col("tokens")))
+        .where(may_reach(F.col("tokens")))
     )
     weight = F.col("tf") * F.coalesce("idf", F.lit(most))
     cells = (
@@ -88,9 +127,6 @@ def detect(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.7, rare: f
         .groupBy("doc_id", "words", "line", "length", "word").agg(F.count("*").alias("tf"))
         .join(F.broadcast(idf), "word", "left").withColumn("x", weight)
     )
-    t = _vocabulary(spark, templates).groupBy("template", "licence", "word").agg(F.count("*").alias("tf")).join(idf, "word").withColumn("y", F.col("tf") * F.col("idf"))
-    norms = t.groupBy("template", "licence").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("t_norm"))
-    t = materialize(t.select("template", "licence", "word", "y").join(norms, ["template", "licence"]), "templates")
     by_line = ["doc_id", "words", "line", "length"]
     cells = materialize(cells, "cells")
     length = cells.groupBy(*by_line).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))

@@ -178,6 +178,29 @@ def test_licence_cosine_is_that_of_tf_idf(spark):
     assert got[0] == ("MIT", 1.0) and got[1] == ("CC", 1.0) and got[3][0] == "MIT" and abs(got[3][1] - want) < 1e-5
 
 
+@pytest.mark.parametrize("every", [1, 3])
+def test_a_licence_of_a_large_part_of_the_documents_is_found(spark, every):
+    notices = [t for _, t in licenses.TEMPLATES]
+    texts = [f"first line {i}\n{notices[0]}\nlast line" if i % every == 0 else f"plain text {i}" for i in range(120)]
+    docs = spark.createDataFrame([*enumerate(texts), *((1000 + i, t) for i, t in enumerate(notices))], "doc_id int, text string")
+    got = {r["doc_id"]: (r["licence"], r["score"]) for r in licenses.detect(docs).collect()}
+    assert {d: s for d, s in got.items() if d < 1000} == {d: ("Apache-2.0", 1.0) for d in range(0, 120, every)}
+    assert all(got[1000 + i] == (name, 1.0) for i, (name, _) in enumerate(licenses.TEMPLATES))
+    alone = licenses.detect(docs.where("doc_id < 1000 and doc_id % 3 = 0")).collect()
+    assert len(alone) == 40 and all(r["score"] == 1.0 for r in alone)
+
+
+def test_lines_left_out_cannot_reach_the_threshold():
+    rng = random.Random(5)
+    for _ in range(300):
+        weights = {f"w{i}": rng.choice([0.01, 1, 1, 3, 20]) * rng.random() + 1e-6 for i in range(rng.randrange(1, 9))}
+        threshold = rng.choice([0.01, 0.5, 0.7, 0.95])
+        words, k = licenses._heaviest(weights, threshold)
+        left = [*words[: k - 1], *(w for w in weights if w not in words)]
+        best = math.sqrt(sum(weights[w] ** 2 for w in left) / sum(x * x for x in weights.values()))
+        assert round(best, 6) < threshold
+
+
 def plain_links(rows, cosine=0.95):
     good = [(i, v) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     links, u = [0] * len(good), Union({i for i, _ in good})
