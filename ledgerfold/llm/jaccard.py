@@ -107,23 +107,30 @@ def _prefixes(k: int, frequent: np.ndarray, num: int, den: int):
     return work
 
 
-def _by_list(batches: Iterator[pa.RecordBatch], columns: list[str], most: int | None = None) -> Iterator[list[np.ndarray]]:
-    """Rows of sorted batches, list by list (the first column); with ``most``, a longer list comes in pieces."""
+def _by_list(batches: Iterator[pa.RecordBatch], columns: list[str], most: int | None = None) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """Rows of sorted batches, list by list (the first column), lists of one row left out.
+
+    With ``most``, a longer list comes in pieces, the last of one row or more; each is told by True.
+    """
     held: list[np.ndarray] | None = None
+    begun = None  # the list of the last piece
     for batch in batches:
         got = [_values(batch.column(c)) for c in columns]
         held = got if held is None else [np.concatenate(x) for x in zip(held, got, strict=True)]
         cuts = np.flatnonzero(np.diff(held[0])) + 1
         starts = np.concatenate([[0], cuts])
         sizes = np.diff(np.append(starts, len(held[0])))
-        for i in np.flatnonzero(sizes[:-1] > 1):
-            yield [x[starts[i] : starts[i] + sizes[i]] for x in held]
+        piece = held[0][starts[:-1]] == begun if begun is not None else np.zeros(len(starts) - 1, bool)
+        for i in np.flatnonzero((sizes[:-1] > 1) | piece):
+            yield bool(piece[i]), [x[starts[i] : starts[i] + sizes[i]] for x in held]
         held = [x[starts[-1] :] for x in held]
         if most and len(held[0]) > most:
-            yield held
-            held = None
-    if held is not None and len(held[0]) > 1:
-        yield held
+            yield True, held
+            begun, held = held[0][0], None
+    if held is not None and len(held[0]):
+        piece = begun is not None and held[0][0] == begun
+        if piece or len(held[0]) > 1:
+            yield bool(piece), held
 
 
 def _values(column: pa.Array) -> np.ndarray:
@@ -150,19 +157,20 @@ def _rows(h: list, a: list, b: list, c: list, needed: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h[keep], a[keep], b[keep], counts, needed[keep])], ["h", "a", "b", "c", "needed"])
 
 
-def _merge_lists(merged: int, num: int, den: int):
+def _merge_lists(merged: int, num: int, den: int, most: int = 1 << 16):
     """From postings (h, doc, n, weight) sorted by h: rows (h, a, b, c, needed).
 
     With h 0, a pair, the number of short lists that both are in, and how many they need. Otherwise the
     list h is long and holds document a; its documents are paired with a pivot, that counts for nothing.
+    A list of more than ``most`` comes in pieces, and each, however short, is a part of a long list.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], [], []]
         held = 0
-        for shingle, doc, n, weight in _by_list(batches, ["h", "doc", "n", "weight"], 1 << 16):
+        for piece, (shingle, doc, n, weight) in _by_list(batches, ["h", "doc", "n", "weight"], most):
             k = len(doc)
-            short = k <= merged
+            short = k <= merged and not piece
             if short:
                 i, j = np.triu_indices(k, 1)
             else:
@@ -200,7 +208,7 @@ def _still_apart(num: int, den: int):
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, doc, n, long, component, sketch in _by_list(batches, ["h", "doc", "n", "long", "component", "sketch"]):
+        for _, (_, doc, n, long, component, sketch) in _by_list(batches, ["h", "doc", "n", "long", "component", "sketch"]):
             order = np.argsort(n, kind="stable")
             doc, n, long, component, sketch = doc[order], n[order], long[order], component[order], sketch[order]
             last = np.searchsorted(n * num, n * den, side="right")  # no larger set than this fits
@@ -288,7 +296,7 @@ def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num: int,
     return materialize(both.mapInArrow(_probe(num, den), "a long, b long"), "links")
 
 
-def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, merged: int = 16) -> DataFrame:
+def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, merged: int = 16, most: int = 1 << 16) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
     Documents link if ``den`` times the intersection of their sets of ``k`` words is at least ``num``
@@ -317,7 +325,7 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, merge
     postings = reps.select(F.explode("prefix").alias("h"), "doc", "n", "weight")
     merged_lists = materialize(
         postings.repartition("h").sortWithinPartitions("h").mapInArrow(
-            _merge_lists(merged, num, den), "h long, a long, b long, c long, needed long"
+            _merge_lists(merged, num, den, most), "h long, a long, b long, c long, needed long"
         ),
         "lists",
     )

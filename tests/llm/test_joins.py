@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +179,31 @@ def test_licence_cosine_is_that_of_tf_idf(spark):
     assert got[0] == ("MIT", 1.0) and got[1] == ("CC", 1.0) and got[3][0] == "MIT" and abs(got[3][1] - want) < 1e-5
 
 
+@pytest.mark.parametrize("rows", [[7] * 6, [7] * 7, [3, *[7] * 6, 8, 8, 9], [7] * 5, [7] * 11])
+def test_no_piece_of_a_long_list_is_short_or_lost(rows):
+    column = lambda x: pa.array(np.array(x, np.int64))
+    docs = list(range(100, 100 + len(rows)))
+    table = pa.RecordBatch.from_arrays([column(rows), column(docs), column([9] * len(rows)), column([1] * len(rows))], ["h", "doc", "n", "weight"])
+    batches = [table.slice(at, 5) for at in range(0, len(rows), 5)]
+    out = [tuple(r.values()) for b in jaccard._merge_lists(3, 80, 100, 4)(iter(batches)) for r in b.to_pylist()]
+    held = [d for h, d in zip(rows, docs, strict=True) if h == 7]
+    assert sorted(a for h, a, *_ in out if h == 7) == held
+    assert not [r for r in out if r[0] == 0 and r[3] > 0 and r[1] in held]
+
+
+def test_near_duplicates_of_lists_in_pieces(spark):
+    rows = list(enumerate(near_copies(57, 3) + near_copies(4, 4)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 5)
+    try:
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components(docs, most=4).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == plain_components(rows, 5, 80)
+
+
 @pytest.mark.parametrize("every", [1, 3])
 def test_a_licence_of_a_large_part_of_the_documents_is_found(spark, every):
     notices = [t for _, t in licenses.TEMPLATES]
