@@ -120,15 +120,17 @@ def source_targets(sources: DataFrame, max_passes: int = 3) -> DataFrame:
     )
 
 
-def curriculum(docs: DataFrame, schedules=cyclic_schedules, max_passes: int = 3, seed: int = 0) -> DataFrame:
+def curriculum(docs: DataFrame, schedules=cyclic_schedules, max_passes: int = 3, seed: int = 0, row: str | None = None) -> DataFrame:
     """One row for each document: doc_id, size, source_size, target, parts (array of moment and words).
 
     ``docs`` has doc_id, text and source. ``schedules`` makes rows (skey, knots) of rows (skey,
     source, source_size). ``parts`` has the training position and the words taken for each pass that takes the document.
+    ``row`` names a column that numbers the rows, which the result then has too.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    number = [row] if row else []
     sized = materialize(
-        docs.select("doc_id", "source", _source_key("source").alias("skey"), words(F.col("text")).alias("size"), key.alias("key")),
+        docs.select(*number, "doc_id", "source", _source_key("source").alias("skey"), words(F.col("text")).alias("size"), key.alias("key")),
         "sizes",
     ).withColumn("bucket", F.substring("key", 1, 3))
     buckets = materialize(
@@ -143,7 +145,7 @@ def curriculum(docs: DataFrame, schedules=cyclic_schedules, max_passes: int = 3,
     starts = buckets.select("skey", "bucket", F.coalesce(F.sum("bucket_size").over(along), F.lit(0)).alias("start")).join(
         targets, "skey"
     )
-    within = Window.partitionBy("skey", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("skey", "bucket").orderBy("key", "size", *number).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["skey", "bucket"])
     start = lambda p: F.col("start") + F.col("before") + p * F.col("source_size")
     taken = F.filter(F.sequence(F.lit(0), F.lit(max_passes - 1)), lambda p: start(p) < F.col("target"))
@@ -154,14 +156,23 @@ def curriculum(docs: DataFrame, schedules=cyclic_schedules, max_passes: int = 3,
             F.least(F.col("size"), F.ceil(F.col("target") - start(p))).alias("words"),
         ),
     )
-    return placed.select("doc_id", "size", "source_size", "target", parts.alias("parts"))
+    return placed.select(*number, "doc_id", "size", "source_size", "target", parts.alias("parts"))
 
 
-def in_order(docs: DataFrame, plan: DataFrame) -> DataFrame:
+def in_order(docs: DataFrame, plan: DataFrame, row: str = "doc_id") -> DataFrame:
     """The documents in training order, whole, once for every pass that takes half of them or more.
 
-    ``plan`` comes from ``curriculum``; doc_id has to be unique and not null here.
+    ``plan`` comes from ``curriculum``; ``row`` names a column of both that tells rows apart and is not null.
     """
-    part = plan.select("doc_id", "size", F.explode("parts").alias("_part")).where("_part.words * 2 >= size")
-    rows = docs.join(part.select("doc_id", F.col("_part.moment").alias("_moment")), "doc_id")
+    part = plan.select(row, "size", F.explode("parts").alias("_part")).where("_part.words * 2 >= size")
+    rows = docs.join(part.select(row, F.col("_part.moment").alias("_moment")), row)
     return rows.orderBy("_moment", "doc_id").select(*docs.columns)
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The documents in training order by ``curriculum``; rows without an id or that repeat one take parts of their own.
+
+    The rows are written down with a number, so that every reading gives a row the same one.
+    """
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return in_order(numbered, curriculum(numbered, row="_row", **options), "_row").drop("_row")

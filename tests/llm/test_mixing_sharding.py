@@ -4,6 +4,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerfold.llm import mixing, sharding
 from ledgerfold.llm.queries import QUERIES
 
@@ -78,6 +79,15 @@ def test_moments_follow_the_schedule(spark):
     assert len(order) >= 398 and order[0] % 2 == 0 and order[-1] % 2 == 1
 
 
+def test_mix_gives_every_row_its_own_parts(spark):
+    rows = [(i if i % 4 else None, f"t{i} b c d e", "s") for i in range(40)] + [(900, f"u{i} b c d e", "s") for i in range(5)] + [(901, "same b c d e", "s")] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.mix(spark, docs, None)
+    assert got.columns == docs.columns
+    # One source is its own target: every row is taken once.
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(rows, key=repr)
+
+
 def least_capacity(sizes, shards):
     def needs(c):
         n, held = 1, 0
