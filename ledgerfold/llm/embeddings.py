@@ -10,7 +10,8 @@ A shard grows to ``shard_rows`` vectors before there are more than the least num
 that a graph fits a task; queries are dealt to parts of at most ``part_rows`` rows.
 
 A vector that is null, empty or zero, or holds null or non-finite components links with nothing;
-vectors of different lengths do not link. Repeated rows count as vectors of their own. Rows without
+vectors of different lengths do not link. Repeated rows count as vectors of their own, also where
+an id comes with several vectors. Rows without
 an id link with nothing and are components of no id. Without rows the result is empty. Other columns
 are ignored.
 """
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import _hnsw
@@ -71,11 +72,12 @@ def links(vectors: DataFrame, cosine: float, width: int, recall: float, audited:
         q_exact, q = _unit(asked["embedding"])
         least = np.float32(cosine - _SLACK)
         sample = np.unique(np.linspace(0, len(q) - 1, min(audited, len(q))).astype(np.int64))
-        true = q[sample] @ x.T >= least
+        # A vector's match with itself tells nothing, and a query of few links counts like one of many.
+        true = (q[sample] @ x.T >= least) & (q_ids[sample][:, None] != ids[None])
         now = width
         while now < len(x):
             r, c = _hnsw.search(x, levels, q[sample], now, least)
-            if true[r, c].sum() >= recall * true.sum():
+            if (np.bincount(r[true[r, c]], minlength=len(sample)) >= recall * true.sum(1)).all():
                 break
             now *= 2
         r, c = _hnsw.search(x, levels, q, now, least)
@@ -108,25 +110,26 @@ def near_duplicates(
         ),
         "classes",
     )
-    # A repeated id with several vectors names each class by a number of its own.
-    repeated = classes.groupBy("first").agg(F.count("*").alias("k")).where("k > 1")
-    if not repeated.isEmpty():
-        raise ValueError("a vec_id has several different vectors")
+    # Each class is named by 56 bits of its digest and its place among the classes that have the same.
+    bits = F.conv(F.substring("class", 1, 14), 16, 10).cast("long")
+    place = F.row_number().over(Window.partitionBy(F.substring("class", 1, 14)).orderBy("class")) - 1
+    classes = materialize(classes.withColumn("key", F.shiftleft(bits, 6) + place), "class-keys")
     found = materialize(
-        links(classes.select(F.col("first").alias("vec_id"), F.size("embedding").alias("dim"), "embedding"), cosine, width, recall, audited, shard_rows, part_rows),
+        links(classes.select(F.col("key").alias("vec_id"), F.size("embedding").alias("dim"), "embedding"), cosine, width, recall, audited, shard_rows, part_rows),
         "links",
     )
     both = found.union(found.select("b", "a"))
-    partners = both.join(classes.select(F.col("first").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("others"))
+    partners = both.join(classes.select(F.col("key").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("others"))
     joined = connected_components(found)
+    named = materialize(
+        classes.select("class", "key", "first", "n").join(joined.withColumnRenamed("node", "key"), "key", "left")
+        .withColumn("component", F.coalesce("component", "key")),
+        "class-components",
+    )
+    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     by_class = (
-        classes.select("class", "first", "n")
-        .join(partners.withColumnRenamed("a", "first"), "first", "left")
-        .join(joined.withColumnRenamed("node", "first"), "first", "left")
-        .select(
-            "class", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "first").alias("component_id"),
-        )
+        named.join(partners.withColumnRenamed("a", "key"), "key", "left").join(smallest, "component")
+        .select("class", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     )
     out = own.select("vec_id", "class").join(by_class, "class", "left")
     component = F.coalesce("component_id", "vec_id")

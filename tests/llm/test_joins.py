@@ -258,6 +258,12 @@ def test_embeddings_against_brute_force(spark):
     assert len(got) == len(rows) + len(bad) and embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_one_id_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, [-1.0, 0.0]), (0, [-1.0, 0.01])]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 0, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 0, False)]
+
+
 def test_embeddings_whole_table(spark, sf_dir):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     got = QUERIES["op9_embeddings"](spark, sf_dir).collect()
