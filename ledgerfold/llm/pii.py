@@ -3,7 +3,8 @@
 One Aho-Corasick automaton finds anchors in a text: at-signs, digits, plus signs before a digit,
 schemes and account cues. At each anchor a deterministic parser expands to the boundaries of an
 address or number and validates it. Anchors come from left to right and each kind remembers where
-its last match ended, so matches of a kind are leftmost and do not overlap.
+its last match ended, so matches of a kind are leftmost and do not overlap. Every parser takes its run of
+characters at once, so the time for a text grows in proportion to its length.
 
 A null text is empty. Rows that repeat an id keep a row each. Spans count code points, end
 exclusive. Texts are scanned whole, row by row, without a shuffle. Without rows, the result is
@@ -27,12 +28,13 @@ KINDS = ("email", "ip", "card", "phone", "iban", "login")
 BASE = KINDS[:4]
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"[:=]?\x20?([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 _LOGIN = re.compile(r"[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_DIGITS = frozenset("0123456789")
 
 _OUT = pa.schema([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -57,6 +59,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet_ok(digits: str) -> bool:
+    bare = digits.lstrip("0")
+    return len(bare) <= 3 and int(bare or "0") <= 255
+
+
 def _iban_ok(text: str) -> bool:
     x = text.replace(" ", "")
     return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
@@ -69,6 +76,9 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]
     for last, (cue, size) in anchors.iter(text):
         at = last - size + 1
         if cue == "digit":
+            # Matches take whole runs of digits, so only the first digit of a run can begin one.
+            if at and text[at - 1] in _DIGITS:
+                continue
             if at >= card and (m := _CARD.match(text, at)):
                 card = m.end()
                 digits = _NOT_DIGIT.sub("", m.group())
@@ -76,7 +86,7 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]
                     out.append((at, 2, card))
             if at >= ip and (m := _IP.match(text, at)):
                 ip = m.end()
-                if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split(".")):
+                if all(_octet_ok(x) for x in m.group().split(".")):
                     out.append((at, 1, ip))
         elif cue == "at":
             start = at
@@ -140,10 +150,12 @@ def redact(docs: DataFrame, mark: str = "<{}>") -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts by base kind, base_sha256 and spans of (doc_id, spans) rows."""
+    """Counts by base kind, base_sha256, spans and n_found (all kinds) of (doc_id, spans) rows."""
     word = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     written = lambda spans: F.array_join(F.transform(spans, word), ",")
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
     counts = [count(k).alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_found")
+    )

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -16,7 +17,8 @@ EDGE = [
 PERSONAL = [
     (1, None), (2, ""), (3, "a@b.c @x.y a@b a.b@@c.d+e@f.g.h."), (4, "1.2.3.4.5.6.7.8 256.1.1.1 1.2.3"), (5, "4111 1111 1111 1111 4111-1111-1111-1112 5"),
     (6, "+1 (234) 555-0199 +12 +1-2 ++4915112345678 +123456789012345678"), (7, "é😀 ü@é.de ü@ab.de 10.0.0.1"), (7, "é😀 ü@é.de ü@ab.de 10.0.0.1"),
-    (8, "9" * 50_000 + " a@b.cd"), (None, "IBAN DE89 3704 0044 0532 0130 00 http://bob:pw@host.org"),
+    (8, "9" * 50_000 + " a@b.cd"), (9, "0" * 3000 + ".1.01.1 1.1.1." + "0" * 3000 + "7x 12.34.56.78.90.1 1.2.3.256.7"), (10, "1.2.3 .4.5.6.7 4 1 1 1-1111 11111111.1.1.1"),
+    (None, "IBAN DE89 3704 0044 0532 0130 00 http://bob:pw@host.org"),
 ]
 
 
@@ -81,6 +83,14 @@ def test_pii_digest(spark):
     assert got.where("doc_id is null").first()["spans"] == "iban:5:32,login:40:55,email:44:55"
 
 
+def test_long_runs_of_digits_take_time_in_proportion():
+    anchors, began = pii._anchors(), time.monotonic()
+    assert pii.find("0" * 5000 + ".1.1.1", anchors) == [(0, 1, 5006)]
+    assert pii.find("7" * 5_000_000 + " a@b.cd", anchors) == [(5_000_001, 0, 5_000_007)]
+    assert len(pii.find("1." * 300_000 + "+1(" + "(" * 300_000 + "@" + "a" * 300_000, anchors)) == 75_000
+    assert time.monotonic() - began < 60
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail a@b.cd now", "x"), (2, None, "y")], "doc_id long, text string, other string")
     assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()} == {1: "mail <email> now", 2: None}
