@@ -2,48 +2,83 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+_OWN: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """This application's folder in the folder that driver and executors share.
+
+    That is spark.checkpoint.dir, else the context's checkpoint folder. Where neither is set, one machine
+    may use a folder of its own, which goes when Python ends; a cluster has to name one.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        shared = _OWN.setdefault("dir", tempfile.mkdtemp(prefix="checkpoint-"))
-    return shared.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if "dir" not in _OWN:
+            _OWN["dir"] = tempfile.TemporaryDirectory(prefix="checkpoint-", ignore_cleanup_errors=True)
+        shared = _OWN["dir"].name
+    return f"{shared.rstrip('/')}/ledgerfold-{spark.sparkContext.applicationId}"
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _path(spark, path)
+    return fs.exists(at)
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python in smaller Arrow batches than the default of 10,000 rows.
 
-    A batch of long texts is held by the JVM, by Arrow and by Python at once. The session keeps the
-    setting, as plans run later; a smaller one of the user's stays.
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; results that are not written yet need them."""
+    at, fs = _path(spark, work_dir(spark))
+    fs.delete(at, True)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Whole texts that are read within go to Python in smaller Arrow batches than the default of 10,000 rows.
+
+    A batch of long texts is held by the JVM, by Arrow and by Python at once. A smaller setting of the
+    user's stays, and afterwards the session has its own again.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
         spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that no plan needs any more."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        at, fs = _path(df.sparkSession, file)
+        fs.delete(at.getParent(), True)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

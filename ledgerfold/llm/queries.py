@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import decontamination, embeddings, jaccard, langid, licenses, mixing, pii, quality, secrets, sharding
+from ledgerfold.llm._store import fresh
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +36,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return secrets.digest(secrets.at_paths(docs, secrets.scan_unseen(docs)))
+    return secrets.digest(secrets.run(docs, fresh(spark, "secrets-ledger")))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

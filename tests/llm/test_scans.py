@@ -52,30 +52,57 @@ def digests(df):
     return sorted((r["doc_id"] is None, r["doc_id"] or 0, r["base_sha256"]) for r in df.collect())
 
 
-def test_secret_digest(spark):
+def test_secret_digest(spark, tmp_path):
     df = spark.createDataFrame(EDGE, "doc_id long, text string").withColumn("blob", secrets.F.lit("clash")).withColumn("spans", secrets.F.lit(1))
-    got = secrets.digest(secrets.at_paths(df, secrets.scan_unseen(df)))
+    got = secrets.digest(secrets.run(df, str(tmp_path / "ledger")))
     assert digests(got) == expect(EDGE, plain_secrets)
     row = got.where("doc_id = 8").first()
-    assert (row["n_assign"], row["spans"]) == (1, "assign:3:24")
+    assert (row["n_assign"], row["spans"], row["n_found"]) == (1, "assign:3:24", 1)
 
 
-def test_ledger_scans_only_what_it_lacks(spark):
+def test_ledger_scans_only_what_it_lacks(spark, tmp_path):
     df = spark.createDataFrame([(1, "token=abcdefgh"), (2, "token=abcdefgh"), (3, "AKIA" + "A" * 16)], "doc_id long, text string")
-    first = secrets.scan_unseen(df.where("doc_id < 3"), secrets.empty_ledger(spark), secrets.RULES[:1])
-    rows = first.collect()
-    assert len(rows) == 1 and rows[0]["rules"] == ["assign@1"]
-    ledger = first.selectExpr("blob", "explode(rules) AS rule")
-    more = secrets.scan_unseen(df, ledger, secrets.RULES[:2])
-    assert sorted(sorted(r["rules"]) for r in more.collect()) == [["access@1"], ["access@1", "assign@1"]]
-    done = ledger.union(more.selectExpr("blob", "explode(rules) AS rule"))
-    assert secrets.scan_unseen(df, done, secrets.RULES[:2]).count() == 0
+    path = str(tmp_path / "ledger")
+    used = lambda rows: sorted(sorted(x["rule"] for x in r["rules"]) for r in rows)
+    first = secrets.scan_unseen(df.where("doc_id < 3"), secrets.read_ledger(spark, path), secrets.RULES[:1])
+    assert used(first.collect()) == [["assign"]]
+    first.write.parquet(path)
+    more = secrets.scan_unseen(df, secrets.read_ledger(spark, path), secrets.RULES[:2])
+    assert used(more.collect()) == [["access"], ["access", "assign"]]
+    more.write.mode("append").parquet(path)
+    assert secrets.scan_unseen(df, secrets.read_ledger(spark, path), secrets.RULES[:2]).count() == 0
     newer = (("assign", 2, secrets.RULES[0][2]),)
-    assert secrets.scan_unseen(df, done, newer).count() == 2
-    spans = {r["doc_id"]: r["spans"] for r in secrets.at_paths(df, first.unionByName(more)).collect()}
+    assert secrets.scan_unseen(df, secrets.read_ledger(spark, path), newer).count() == 2
+    spans = {r["doc_id"]: r["spans"] for r in secrets.at_paths(df, secrets.read_ledger(spark, path)).collect()}
     assert [len(spans[i]) for i in (1, 2, 3)] == [1, 1, 1]
 
 
+@pytest.mark.parametrize("order", [(2, 0, 1, 5, 4, 3), (5, 4, 3, 2, 1, 0)])
+def test_runs_in_any_order_give_what_one_run_gives(spark, tmp_path, order):
+    texts = ["token=abcdefgh AKIA" + "A" * 16 + " " + "f" * 40, "secret: " + "0" * 40, "plain", None, "ghp_" + "a" * 40 + " password=" + "b" * 33]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "doc_id long, text string")
+    whole = secrets.digest(secrets.run(df, str(tmp_path / "one")))
+    path = str(tmp_path / "several")
+    for k in order[:-1]:
+        secrets.run(df.where(f"doc_id % 3 <> {k % 3}"), path, (secrets.RULES[k],)).count()
+    parts = secrets.digest(secrets.run(df, path))
+    # An equal run once more, as after a retry.
+    secrets.read_ledger(spark, path).write.parquet(str(tmp_path / "copy"))
+    spark.read.parquet(str(tmp_path / "copy")).write.mode("append").parquet(path)
+    again = secrets.digest(secrets.run(df, path))
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    assert rows(whole) == rows(parts) == rows(again)
+
+
+def test_a_rule_version_replaces_the_one_before(spark, tmp_path):
+    df = spark.createDataFrame([(1, "token=abcdefgh AKIA" + "A" * 16)], "doc_id long, text string")
+    path = str(tmp_path / "ledger")
+    assert secrets.digest(secrets.run(df, path)).first()["spans"] == "assign:0:14,access:15:35"
+    newer = (("assign", 2, lambda text: iter(())), *secrets.RULES[1:])
+    assert secrets.digest(secrets.run(df, path, newer)).first()["spans"] == "access:15:35"
+    assert secrets.digest(secrets.run(df, path)).first()["spans"] == "assign:0:14,access:15:35"
+
+
 def test_pii_digest(spark):
     df = spark.createDataFrame(PERSONAL, "doc_id long, text string").withColumn("spans", secrets.F.lit("clash"))
     got = pii.digest(pii.scan(df))
@@ -103,7 +130,7 @@ def test_whole_table(spark, sf_dir, name, plain):
     assert digests(got) == expect(rows, plain)
 
 
-def test_empty_tables(spark):
+def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert secrets.digest(secrets.at_paths(none, secrets.scan_unseen(none))).count() == 0
+    assert secrets.digest(secrets.run(none, str(tmp_path / "ledger"))).count() == 0
     assert pii.digest(pii.scan(none)).count() == 0
