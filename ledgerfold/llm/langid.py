@@ -5,13 +5,16 @@ the language that the markup declares, with the suffix of the address, and with
 that is smoothed towards its domain and that towards all rows. The tables of this evidence come from
 grouped aggregation over all rows, by the language that the text alone suggests.
 
-The trigram model is fitted on a bounded sample: at most ``per_language`` labelled texts for each
-of at most ``languages`` labels. Everything else covers all rows. Texts are scored whole.
+The trigram model is fitted on a bounded sample: at most ``per_language`` labelled rows for each label
+that has ``least_rows``, equal rows being one. No label is left out for being one of many; the model takes
+a quarter of a megabyte for each, and languages are few. Everything else covers all rows. Texts are
+scored whole and once: the scores are written down with the columns that stay.
 
 A text without letters has no likelihood and is rejected (``und``), as is one that no model
 explains better than chance by ``margin`` nats a trigram, or whose best language stays under
 ``least`` probability. Null evidence says nothing. Rows that repeat an id keep a row each. Without
-labelled rows everything is rejected; without rows the result is empty. Other columns stay.
+labelled rows everything is rejected; without rows the result is empty. Other columns stay, and may have
+any names but those that begin with an underscore.
 """
 
 from __future__ import annotations
@@ -65,23 +68,21 @@ def _pieces(text: str) -> Iterator[str]:
         yield text[at : at + _BLOCK + 2]
 
 
-def fit(labelled: DataFrame, languages: int = 64, per_language: int = 2000, least_rows: int = 3) -> Model:
-    """Trigram model of (doc_id, text, lang) rows; the sample is the first rows of each label by a hash of the id."""
-    small_batches(labelled.sparkSession)
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows)
-    kept = counts.orderBy(F.desc("n"), "lang").limit(languages).collect()
-    if not kept:
-        return Model((), np.zeros((_BINS, 0), np.float32))
-    # A label's rows below a hash are about twice those wanted, however many it has; the first of them are taken.
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    drawn = F.lit(False)
-    for r in kept:
-        drawn = drawn | ((F.col("lang") == r["lang"]) & (draw < min(1 << 30, 2 * per_language * (1 << 30) // r["n"] + 1)))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.where(drawn).select("doc_id", "lang").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language)
-    # At most languages * per_language rows.
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"])
+def fit(labelled: DataFrame, per_language: int = 2000, least_rows: int = 3) -> Model:
+    """Trigram model of (doc_id, text, lang) rows; the sample is the first rows of each label by a hash of id and text."""
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    hashed = known.withColumn("_row", F.xxhash64("doc_id", "text"))
+    # The hashes of a label's different rows fall into 1024 buckets; as many buckets as the sample needs are
+    # drawn, however many rows the label has, and of these the first rows are taken.
+    bucket = F.shiftright(F.pmod("_row", F.lit(1 << 30)), 20)
+    counts = hashed.groupBy("lang", bucket.alias("_bucket")).agg(F.count("*").alias("n"), F.approx_count_distinct("_row").alias("d"))
+    along = Window.partitionBy("lang").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumns({"_before": F.coalesce(F.sum("d").over(along), F.lit(0)), "_all": F.sum("n").over(Window.partitionBy("lang"))})
+    bounds = needed.where((F.col("_before") < 1.5 * per_language) & (F.col("_all") >= least_rows)).groupBy("lang").agg(F.max("_bucket").alias("_last"))
+    drawn = hashed.join(F.broadcast(bounds), "lang").where(bucket <= F.col("_last"))  # one row for each label is broadcast
+    first = Window.partitionBy("lang").orderBy("_row")
+    wanted = drawn.select("lang", "_row").distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language)
+    sample = drawn.join(wanted.select("lang", "_row"), ["lang", "_row"]).dropDuplicates(["lang", "_row"]).select("lang", "text")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -94,7 +95,8 @@ def fit(labelled: DataFrame, languages: int = 64, per_language: int = 2000, leas
                 yield pd.DataFrame({"lang": lang, "bin": at, "n": n[at]})
 
     bins = sample.mapInPandas(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    got = bins.toPandas()  # at most languages * _BINS rows
+    with small_batches(labelled.sparkSession):
+        got = bins.toPandas()  # at most _BINS rows for each language
     names = tuple(sorted(got["lang"].unique()))
     table = np.full((_BINS, len(names)), 0.1, np.float64)
     for k, name in enumerate(names):
@@ -140,18 +142,23 @@ def identify(
     margin: float = 1.0,
     least: float = 0.5,
     weight: float = 20.0,
+    stay: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """Adds ``language`` (``und`` if rejected), ``probability`` and ``accepted`` to the rows."""
-    small_batches(rows.sparkSession)
+    """Adds ``language`` (``und`` if rejected), ``probability`` and ``accepted`` to the rows.
+
+    All columns stay, or those that ``stay`` names; columns of the three names are replaced.
+    """
     rows = rows.drop("language", "probability", "accepted")
+    kept = [c for c in rows.columns if stay is None or c in stay]
     if not model.languages:
-        return rows.withColumns({"language": F.lit("und"), "probability": F.lit(0.0), "accepted": F.lit(False)})
+        return rows.select(*kept).withColumns({"language": F.lit("und"), "probability": F.lit(0.0), "accepted": F.lit(False)})
     nothing = F.lit(None).cast("string")
     evidence = {"_declared": declared, "_suffix": suffix, "_host": host, "_domain": domain}
     evidence = {k: nothing if v is None else v.cast("string") for k, v in evidence.items()}
     keys = list(evidence)
     key = F.sha2(F.to_json(F.struct(*(F.col(k) for k in keys)), {"ignoreNullFields": "false"}), 256)
-    scored = rows.withColumns(evidence | {"_ll": log_likelihoods(F.col(text), model)})
+    with small_batches(rows.sparkSession):
+        scored = materialize(rows.select(*kept, *(v.alias(k) for k, v in evidence.items()), log_likelihoods(F.col(text), model).alias("_ll")), "scored")
     scored = scored.withColumns({"_n": F.get("_ll", 0), "_mean": F.slice("_ll", 2, len(model.languages))})
 
     best = F.array_max("_mean")
@@ -159,7 +166,7 @@ def identify(
     # One row for each combination of evidence and language, not for each document.
     groups = materialize(
         seen.groupBy(*keys, "l").agg(F.count("*").alias("n")).unionByName(
-            rows.select(*(v.alias(k) for k, v in evidence.items())).distinct().withColumns({"l": F.lit(-1), "n": F.lit(0).cast("long")})
+            scored.select(*keys).distinct().withColumns({"l": F.lit(-1), "n": F.lit(0).cast("long")})
         ),
         "evidence",
     )
@@ -203,14 +210,14 @@ def identify(
     accepted = (F.col("_n") > 0) & fits & (sure >= least)
     out = scored.withColumn("_key", key).join(fused, "_key", "left").withColumn("_logit", logit)
     return out.withColumns({"probability": F.round(sure, 6), "accepted": F.coalesce(accepted, F.lit(False))}).select(
-        *rows.columns, F.when(F.col("accepted"), name).otherwise("und").alias("language"), "probability", "accepted"
+        *kept, F.when(F.col("accepted"), name).otherwise("und").alias("language"), "probability", "accepted"
     )
 
 
 def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The documents (text, lang, source and any other columns) whose language is accepted."""
     rows = docs.select("text", F.col("lang").alias("said"), F.col("source").alias("host"), F.struct("*").alias("row"))
-    found = identify(rows, model, declared=F.col("said"), host=F.col("host"))
+    found = identify(rows, model, declared=F.col("said"), host=F.col("host"), stay=("row",))
     return found.where("accepted").select("row.*")
 
 

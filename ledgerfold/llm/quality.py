@@ -5,11 +5,13 @@ long they are, whether they repeat the one before). One shared weight vector giv
 thresholds turn it into probabilities of grades: P(grade > k) = sigmoid(score - threshold k). The
 expected grade ranks documents; the tail probability of the top grade selects them.
 
-The regression is fitted on a bounded sample of rated rows (``sample`` rows, the first by a hash of
-the id); every document is scored whole. A null or empty text has the bias alone as its features.
-Ratings that are null or whose document is missing are left out; without ratings, or with a single
-grade among them, every document gets the same score. Rows that repeat an id keep a row each; of an
-id's several ratings the lowest counts. Without documents the result is empty.
+The regression is fitted on a bounded sample of rated rows (``sample`` ids, the first by a hash of
+the id, and as many different texts at most); every document is scored whole. A null or empty text has
+the bias alone as its features. Ratings that are null or whose document is missing are left out; without
+ratings, or with a single grade among them, every document gets the same score. Rows that repeat an id
+keep a row each; of an id's several ratings the lowest counts, and equal texts are one example with the
+lowest of their grades, so the model depends on the rows alone and not on how they are dealt out.
+Without documents the result is empty.
 """
 
 from __future__ import annotations
@@ -81,7 +83,7 @@ def grade(quality: Column, toxic: Column) -> Column:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, sample: int = 6000, rounds: int = 300, decay: float = 1e-4, least_z: float = 3.5) -> Model:
-    """Fit on ``docs`` (doc_id, text) and ``ratings`` (doc_id, grade from 0); of equal texts one counts."""
+    """Fit on ``docs`` (doc_id, text) and ``ratings`` (doc_id, grade from 0)."""
     size = (1 << _BITS) + _TRAITS
     rated = ratings.where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -90,15 +92,15 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = 6000, rounds: int = 3
         for frame in frames:
             found = list(_features(frame["text"].tolist()))
             yield pd.DataFrame(
-                {"doc_id": frame["doc_id"], "grade": frame["grade"], "bins": [b for b, _ in found], "x": [x for _, x in found]}
+                {"copy": frame["copy"], "grade": frame["grade"], "bins": [b for b, _ in found], "x": [x for _, x in found]}
             )
 
-    # At most ``sample`` rows on both sides of this line.
-    got = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("copy", F.sha2("text", 256)).dropDuplicates(["copy"])
-        .mapInPandas(sparse, "doc_id long, grade int, bins array<int>, x array<float>")
-        .orderBy("doc_id").toPandas()
+    examples = (
+        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy(F.coalesce(F.sha2("text", 256), F.lit("")).alias("copy"))
+        .agg(F.min("grade").cast("int").alias("grade"), F.min("text").alias("text")).orderBy("copy").limit(sample)
     )
+    # At most ``sample`` rows on both sides of this line.
+    got = examples.mapInPandas(sparse, "copy string, grade int, bins array<int>, x array<float>").toPandas().sort_values("copy")
     y = got["grade"].to_numpy(np.int64)
     top = int(y.max()) if len(y) else 0
     if len(np.unique(y)) < 2:

@@ -46,7 +46,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    found = langid.identify(docs, langid.fit(docs), declared=F.col("lang"), host=F.col("source"))
+    found = langid.identify(docs, langid.fit(docs), declared=F.col("lang"), host=F.col("source"), stay=("doc_id",))
     return found.select("doc_id", "language", "probability", "accepted")
 
 
@@ -57,7 +57,7 @@ def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(
         pages, langid.fit(_table(spark, sf_dir, "documents")),
         declared=langid.markup_language("html"), suffix=langid.address_suffix("url"),
-        host=langid.host_of("url"), domain=langid.domain_of("url"),
+        host=langid.host_of("url"), domain=langid.domain_of("url"), stay=("page_id",),
     )
     return found.select("page_id", "language", "probability", "accepted")
 

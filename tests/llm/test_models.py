@@ -1,6 +1,13 @@
+"""Language ID and quality: held-out accuracy, and their arithmetic against plain recomputation."""
+
+import math
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import langid, quality
+from ledgerfold.llm._text import mix, word_hashes
 from ledgerfold.llm.queries import QUERIES
 
 
@@ -69,3 +76,107 @@ def test_quality_edges(spark):
     odd = spark.createDataFrame([(1, 2), (1, 0), (2, None), (9, 1), (3, 2), (None, 1)], "doc_id long, grade int")
     assert quality.score(docs, quality.fit(docs, odd)).count() == 5
     assert quality.score(docs.limit(0), quality.fit(docs.limit(0), odd)).count() == 0
+
+
+def plain_identify(rows, model, weight=20.0, margin=1.0, least=0.5):
+    """rows of (text, declared, suffix, host, domain): the fused posterior, evidence by evidence."""
+    k, every = len(model.languages), range(len(model.languages))
+    means, sizes = [], []
+    for text, *_ in rows:
+        bins = langid._bins(text or "")
+        sizes.append(len(bins))
+        means.append([sum(float(model.log_p[b, i]) for b in bins) / max(len(bins), 1) for i in every])
+    guess = [max(every, key=lambda i: (m[i], -i)) if n else None for m, n in zip(means, sizes, strict=True)]
+    n_l = [guess.count(i) for i in every]
+    p_all = [(n + 1) / (sum(n_l) + k) for n in n_l]
+    count = lambda at, value, i=None: sum(1 for r, g in zip(rows, guess, strict=True) if g is not None and value is not None and r[at] == value and i in (None, g))
+    out = []
+    for r, m, n in zip(rows, means, sizes, strict=True):
+        logits = []
+        for i in every:
+            p = (count(4, r[4], i) + weight * p_all[i]) / (count(4, r[4]) + weight)
+            e = math.log((count(3, r[3], i) + weight * p) / (count(3, r[3]) + weight))
+            for at in (1, 2):
+                if r[at] is not None:
+                    e += math.log((count(at, r[at], i) + weight * (count(at, r[at]) + 1) / (sum(n_l) + 1)) / (n_l[i] + weight))
+            logits.append(m[i] * min(n, 120) + e)
+        best = max(every, key=lambda i: (logits[i], -i))
+        sure = 1 / sum(math.exp(x - logits[best]) for x in logits)
+        ok = n > 0 and m[best] >= -math.log(1 << 16) + margin and sure >= least
+        out.append((model.languages[best] if ok else "und", round(sure, 5), ok))
+    return out
+
+
+def test_fused_posterior_is_that_of_plain_arithmetic(spark):
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source")
+    model = langid.fit(base)
+    rows = []
+    for i, r in enumerate(base.orderBy("doc_id").limit(120).collect()):
+        text = None if i % 17 == 0 else r["text"][:300] if i % 3 else r["text"][: i % 23]
+        rows.append((text, None if i % 5 == 0 else r["lang"], None if i % 4 else f"/{r['lang']}", None if i % 7 == 0 else f"h{i % 6}.{r['source']}", None if i % 7 == 0 else r["source"]))
+    rows += rows[:5]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, text string, said string, tld string, h string, d string")
+    for parts in (1, 5):
+        found = langid.identify(df.repartition(parts), model, declared=F.col("said"), suffix=F.col("tld"), host=F.col("h"), domain=F.col("d"), stay=("id",))
+        got = [(r["language"], round(r["probability"], 5), r["accepted"]) for r in found.orderBy("id").collect()]
+        want = plain_identify(rows, model)
+        assert [(a, c) for a, _, c in got] == [(a, c) for a, _, c in want]
+        assert max(abs(x[1] - y[1]) for x, y in zip(got, want, strict=True)) < 1e-4
+
+
+def test_language_sample_is_bounded_by_rows_and_leaves_no_label_out(spark):
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null")
+    texts = [r["text"] for r in base.orderBy("doc_id").limit(90).collect()]
+    rows = [(7, f"repeated row number {i % 2}", "aa") for i in range(600)] + [(i, texts[i % 90] + f" {i}", f"l{i % 80:02d}") for i in range(400)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(labelled, per_language=1)
+    assert model.languages == tuple(sorted({r[2] for r in rows}))
+    once = langid.fit(spark.createDataFrame([(7, f"repeated row number {i}", "aa") for i in range(2)] * 2, "doc_id long, text string, lang string"))
+    many = langid.fit(labelled.where("lang = 'aa'"))
+    assert (once.log_p == many.log_p).all()
+
+
+def test_languages_of_the_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = QUERIES["op6_langid"](spark, "/root/testdata/sf0.01")
+    both = found.join(docs.select("doc_id", "lang", "text"), "doc_id").where("length(text) >= 40")
+    assert found.count() == docs.count() and found.where("accepted = (language = 'und')").count() == 0
+    assert both.where("language = lang").count() >= 0.98 * both.count()
+
+
+def test_quality_model_does_not_depend_on_how_rows_are_dealt(spark):
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in "bcdfgklmnprstv" for b in ("anor", "elit", "ious")]
+    texts = [" ".join(rng.choice(words[g * 12 : 12 + g * 14]) for _ in range(12)) for g in (0, 1, 2) for _ in range(40)]
+    rows = [(i, texts[i % 120]) for i in range(400)] + [(3, texts[5]), (3, None), (None, texts[0])]
+    grades = [(i, rng.randrange(3)) for i in range(400)] + [(3, 0), (3, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ratings = spark.createDataFrame(grades, "doc_id long, grade int")
+    models = [quality.fit(docs.repartition(n), ratings.repartition(5 - n)) for n in (1, 2, 4)]
+    assert all((m.weights == models[0].weights).all() and (m.thresholds == models[0].thresholds).all() for m in models)
+
+
+def test_quality_scores_are_cumulative_link_probabilities(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.fit(docs, labels.select("doc_id", quality.grade(F.col("quality"), F.col("toxic")).alias("grade")))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(-1, None), (-2, ""), (-3, "42 !!"), (-4, "word " * 3000)]
+    got = {r["doc_id"]: r for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    table = 1 << 18
+    for doc, text in rows:
+        bare = "".join(c if ord(c) > 127 or c.isalpha() else " " for c in text or "").split(" ")
+        bare = [w for w in bare if w]
+        score = 0.0
+        if bare:
+            hashes = [int((h := next(word_hashes([w])))[0]) for w in bare]
+            bins = [int(mix(np.array([h], np.uint64))[0] >> np.uint64(46)) for h in hashes]
+            score = sum(float(model.weights[b]) for b in set(bins))
+            raw = text.encode()
+            kinds = [0] * 8
+            for c in raw:
+                kinds[1 if c > 127 else 0 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 if chr(c).isspace() else 4 if chr(c) in ".,;:!?'\"-()" else 5] += 1
+            traits = [sum(a == b for a, b in zip(hashes, hashes[1:])) / len(bare), max(bins.count(b) for b in set(bins)) / len(bare), len(set(bins)) / len(bare)]  # noqa: B905
+            score += sum(3 * t * float(model.weights[table + i]) for i, t in enumerate(traits + [k / len(raw) for k in kinds]))
+        above = [1 / (1 + math.exp(-max(-40, min(40, score - cut)))) for cut in model.thresholds]
+        assert abs(got[doc]["expected_grade"] - sum(above)) < 1e-4 and abs(got[doc]["tail_probability"] - above[-1]) < 1e-4
+        assert got[doc]["selected"] == (got[doc]["tail_probability"] >= 0.5)
