@@ -1,7 +1,9 @@
 import hashlib
+import random
 import re
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -138,3 +140,32 @@ def test_shards_edges(spark):
     assert sharding.assign(docs.limit(0)).count() == 0
     few = sharding.assign(docs.where("doc_id in (50, 52)")).collect()
     assert sorted(r["slot"] for r in few) == [0, 0]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_least_capacity_by_blocks_is_that_of_all_groups(spark, seed):
+    rng = random.Random(seed)
+    n = (1, 9, 60, 400, 1500, 1500)[seed]
+    groups = {hashlib.sha256(f"{seed}:{i}".encode()).hexdigest(): rng.choice((1, 3, 40)) * rng.randrange(1, 60) for i in range(n)}
+    if seed > 3:  # a third of everything in one group, and large ones beside it
+        for k, at in enumerate(sorted(groups)[:: n // 3]):
+            groups[at] = sum(groups.values()) // (2 + 3 * k)
+    df = spark.createDataFrame([(d, 1) for d in groups] + [(d, s - 1) for d, s in groups.items() if s > 1], "digest string, size long")
+    for shards, digits in ((8, 1), (3, 2)):
+        got, cuts = sharding.minimax_cuts(df, shards, digits, 1)
+        sizes = [groups[d] for d in sorted(groups)]
+        assert got == least_capacity(sizes, shards)
+        want, held = [], 0
+        for d in sorted(groups):
+            if held + groups[d] > got:
+                want.append(before)
+                held = 0
+            held, before = held + groups[d], d
+        assert cuts == want and len(cuts) < shards
+
+
+def test_sharding_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a", "x", "y", 1), (2, "b", None, "z", 2)], "doc_id long, text string, digest string, bucket string, row int").withColumn("law", F.lit("old"))
+    got = sharding.assign(docs)
+    assert got.columns == ["doc_id", "text", "digest", "bucket", "row", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert sorted((r["digest"] or "", r["bucket"], r["row"], r["law"]) for r in got.collect()) == [("", "z", 2, "bytes"), ("x", "y", 1, "bytes")]
