@@ -6,6 +6,7 @@ Malkov and Yashunin's graph, with the beams of a batch of queries held side by s
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -163,10 +164,10 @@ def build(x: np.ndarray, width: int = 48) -> list[np.ndarray]:
     return levels + [np.array([[entry]], np.int32)]
 
 
-def search(x: np.ndarray, graph: list[np.ndarray], q: np.ndarray, width: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) of similarity ``least`` or more; a beam that holds nothing less is doubled until it does."""
+def search(x: np.ndarray, graph: list[np.ndarray], q: np.ndarray, width: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, node) of similarity ``least`` or more, some queries at a time; a beam that holds nothing less is
+    doubled until it does."""
     *levels, entry = graph
-    pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     size = max(16, min(_BATCH, (64 << 20) // max(1, len(x))))
     for at in range(0, len(q), size):
         rows = np.arange(at, min(at + size, len(q)))
@@ -178,14 +179,13 @@ def search(x: np.ndarray, graph: list[np.ndarray], q: np.ndarray, width: int, le
         while len(rows):
             if now >= len(x):  # the beam would hold every node
                 r, c = np.nonzero(q[rows] @ x.T >= least)
-                pairs.append((rows[r], c.astype(np.int64)))
+                yield rows[r], c.astype(np.int64)
                 break
             ids, sims = beam(x, levels[0], q[rows], start, now)
             full = sims.min(1) >= least
             r, c = np.nonzero((sims >= least) & ~full[:, None])
-            pairs.append((rows[r], ids[r, c].astype(np.int64)))
+            yield rows[r], ids[r, c].astype(np.int64)
             rows, start, now = rows[full], ids[full], 2 * now
-    return np.concatenate([p for p, _ in pairs]), np.concatenate([p for _, p in pairs])
 
 
 def pack(**arrays: np.ndarray) -> bytes:

@@ -4,7 +4,9 @@ Equal vectors form a class and are indexed once. Vectors are dealt to shards by
 has its own graph, and every vector is searched in every shard. In each task an audit compares some
 queries with brute force over the shard and doubles the beam until recall passes; beams that are full of
 links widen by themselves, so no number of partners is cut off. Links are verified by cosine in
-double precision, and components are unions of links.
+double precision, and components are unions of links. A task gives no pairs: it counts the links of each
+query and unites what it has linked, so its result has a row for each vector at most, however large a
+group is.
 
 A shard grows to ``shard_rows`` vectors before there are more than the least number of shards, so
 that a graph fits a task; queries are dealt to parts of at most ``part_rows`` rows.
@@ -37,62 +39,83 @@ def _unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return x, (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots (the smallest of a component) after a and b, pairwise, have been united."""
+    while True:
+        x, y = root[a], root[b]
+        apart = np.flatnonzero(x != y)
+        if not len(apart):
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
 def links(vectors: DataFrame, cosine: float, width: int, recall: float, audited: int, shard_rows: int, part_rows: int) -> DataFrame:
-    """Pairs a < b of ids of (vec_id, dim, embedding) rows whose cosine is ``cosine`` or more."""
+    """(key, root, links) of (key, dim, embedding, n) rows: ``links`` sums up the ``n`` of partners whose cosine is
+    ``cosine`` or more, and ``root`` is a vector that links connect with ``key``. Several rows may tell of a key."""
     n = vectors.count()
     shards, parts = max(8, -(-n // shard_rows)), max(1, -(-n // part_rows))
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
 
     def index(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("vec_id")
+        frame = frame.sort_values("key")
         _, x = _unit(frame["embedding"])
         levels = {f"level{k}": a for k, a in enumerate(_hnsw.build(x))}
-        raw = _hnsw.pack(ids=frame["vec_id"].to_numpy(), vectors=np.stack(frame["embedding"].to_numpy()), **levels)
+        raw = _hnsw.pack(keys=frame["key"].to_numpy(), n=frame["n"].to_numpy(), vectors=np.stack(frame["embedding"].to_numpy()), **levels)
         return pd.DataFrame({"shard": frame["shard"].iloc[:1], "dim": frame["dim"].iloc[:1], "graph": [raw]})
 
     graphs = materialize(dealt.groupBy("shard", "dim").applyInPandas(index, "shard int, dim int, graph binary"), "graphs")
     targets = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    queries = vectors.withColumns(
+    queries = vectors.drop("n").withColumns(
         {
-            "part": F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int"),
+            "part": F.pmod(F.xxhash64("key", F.lit(1)), F.lit(parts)).cast("int"),
             "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1))),
         }
     )
 
     def find(graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         if not len(graph) or not len(asked):
-            return none
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("key", "root", "links")})
         held = _hnsw.unpack(graph["graph"].iloc[0])
-        ids = held["ids"]
+        keys, weight = held["keys"], held["n"]
         exact, x = _unit(pd.Series(list(held["vectors"])))
-        levels = [held[f"level{k}"] for k in range(len(held) - 2)]
-        asked = asked.sort_values("vec_id")
-        q_ids = asked["vec_id"].to_numpy()
+        levels = [held[f"level{k}"] for k in range(len(held) - 3)]
+        asked = asked.sort_values("key")
+        q_keys = asked["key"].to_numpy()
         q_exact, q = _unit(asked["embedding"])
         least = np.float32(cosine - _SLACK)
         sample = np.unique(np.linspace(0, len(q) - 1, min(audited, len(q))).astype(np.int64))
         # A vector's match with itself tells nothing, and a query of few links counts like one of many.
-        true = (q[sample] @ x.T >= least) & (q_ids[sample][:, None] != ids[None])
+        true = (q[sample] @ x.T >= least) & (q_keys[sample][:, None] != keys[None])
         now = width
         while now < len(x):
-            r, c = _hnsw.search(x, levels, q[sample], now, least)
-            if (np.bincount(r[true[r, c]], minlength=len(sample)) >= recall * true.sum(1)).all():
+            got = np.zeros(len(sample), np.int64)
+            for r, c in _hnsw.search(x, levels, q[sample], now, least):
+                got += np.bincount(r[true[r, c]], minlength=len(sample))
+            if (got >= recall * true.sum(1)).all():
                 break
             now *= 2
-        r, c = _hnsw.search(x, levels, q, now, least)
-        keep = ids[c] != q_ids[r]
-        r, c = r[keep], c[keep]
-        good = np.zeros(len(r), bool)
-        for at in range(0, len(r), 1 << 16):
-            u, v = q_exact[r[at : at + (1 << 16)]], exact[c[at : at + (1 << 16)]]
-            norm = np.sqrt(np.einsum("kd,kd->k", u, u)) * np.sqrt(np.einsum("kd,kd->k", v, v))
-            good[at : at + (1 << 16)] = np.einsum("kd,kd->k", u, v) / norm >= cosine
-        a, b = q_ids[r[good]], ids[c[good]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        every = np.concatenate([q_keys, keys])
+        count, root, linked = np.zeros(len(q), np.int64), np.arange(len(every)), np.zeros(len(every), bool)
+        for r, c in _hnsw.search(x, levels, q, now, least):
+            other = keys[c] != q_keys[r]
+            r, c = r[other], c[other]
+            good = np.zeros(len(r), bool)
+            for at in range(0, len(r), 1 << 16):
+                u, v = q_exact[r[at : at + (1 << 16)]], exact[c[at : at + (1 << 16)]]
+                norm = np.sqrt(np.einsum("kd,kd->k", u, u)) * np.sqrt(np.einsum("kd,kd->k", v, v))
+                good[at : at + (1 << 16)] = np.einsum("kd,kd->k", u, v) / norm >= cosine
+            r, c = r[good], c[good]
+            np.add.at(count, r, weight[c])
+            root = _united(root, r, len(q) + c)
+            linked[r] = linked[len(q) + c] = True
+        at = np.flatnonzero(linked)
+        return pd.DataFrame({"key": every[at], "root": every[root[at]], "links": np.concatenate([count, np.zeros(len(keys), np.int64)])[at]})
 
     by = ["shard", "dim", "part"]
-    return targets.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(find, "a long, b long").distinct()
+    return targets.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(find, "key long, root long, links long")
 
 
 def near_duplicates(
@@ -115,12 +138,10 @@ def near_duplicates(
     place = F.row_number().over(Window.partitionBy(F.substring("class", 1, 14)).orderBy("class")) - 1
     classes = materialize(classes.withColumn("key", F.shiftleft(bits, 6) + place), "class-keys")
     found = materialize(
-        links(classes.select(F.col("key").alias("vec_id"), F.size("embedding").alias("dim"), "embedding"), cosine, width, recall, audited, shard_rows, part_rows),
-        "links",
+        links(classes.select("key", F.size("embedding").alias("dim"), "embedding", "n"), cosine, width, recall, audited, shard_rows, part_rows), "links"
     )
-    both = found.union(found.select("b", "a"))
-    partners = both.join(classes.select(F.col("key").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("others"))
-    joined = connected_components(found)
+    partners = found.groupBy("key").agg(F.sum("links").alias("others"))
+    joined = connected_components(found, "key", "root")
     named = materialize(
         classes.select("class", "key", "first", "n").join(joined.withColumnRenamed("node", "key"), "key", "left")
         .withColumn("component", F.coalesce("component", "key")),
@@ -128,7 +149,7 @@ def near_duplicates(
     )
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     by_class = (
-        named.join(partners.withColumnRenamed("a", "key"), "key", "left").join(smallest, "component")
+        named.join(partners, "key", "left").join(smallest, "component")
         .select("class", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     )
     out = own.select("vec_id", "class").join(by_class, "class", "left")
