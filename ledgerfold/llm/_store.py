@@ -81,6 +81,22 @@ def discard(df: DataFrame) -> None:
         fs.delete(at.getParent(), True)
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, by: str, share: int = 1000) -> DataFrame:
+    """Left join of many rows with one fact a key, in which no key's rows all meet in one task.
+
+    A key of more than 1/``share`` of the rows is dealt to pieces by a hash of ``by``, and its fact goes to
+    each of them. There are fewer than ``share`` such keys, so the list of them may be broadcast.
+    ``rows`` is read twice and should be a written table.
+    """
+    total = rows.count()
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") * share > total)
+    hot = F.broadcast(materialize(counts.select(key, F.ceil(F.col("_rows") * share / max(total, 1)).alias("_pieces")), "hot-keys"))
+    piece = F.coalesce(F.pmod(F.xxhash64(by), F.col("_pieces")), F.lit(0)).alias("_piece")
+    left = rows.join(hot, key, "left").select(*rows.columns, piece)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_pieces", F.lit(1)) - 1)).alias("_piece")
+    return left.join(facts.join(hot, key, "left").select(*facts.columns, every), [key, "_piece"], "left").drop("_piece")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest reachable id of every node that has an edge, as (node, component).
 

@@ -1,17 +1,19 @@
 """Licence scans by sparse TF-IDF cosine and nearest-ancestor inheritance, by DataFrame operations alone.
 
 The templates' words are the vocabulary; its document frequencies come from all texts, and any other
-word weighs like one that no text holds. Each line is a sparse vector, and a line whose cosine with
-a template reaches ``threshold`` carries that licence. Lines that hold too few of a template's
-heaviest words to reach it are not compared, however frequent those words are. A document of which a tenth or more is licence text is a licence file: it covers its directory and all
-below, and a document without a licence of its own inherits from the nearest directory above.
+word weighs like one that no text holds. Each line, and each paragraph of several lines, is a sparse
+vector, and one whose cosine with a template reaches ``threshold`` carries that licence, so a notice may
+wrap over lines. What holds too few of a template's heaviest words to reach it is not compared, however
+frequent those words are. A document of which a tenth or more is licence text is a licence file: it
+covers its directory and all below, and a document without a licence of its own inherits from the
+nearest directory above.
 
-Paths are joined directory by directory, not file by file, so a directory that holds a third of all
-rows is one row of that join. The templates are a fixed list, so their vocabulary may be broadcast.
+Paths are joined directory by directory, not file by file; the rows of a directory that holds a large
+part of all are dealt to many tasks. The templates are a fixed list, so their vocabulary may be broadcast.
 
 A null text or path has no licence and inherits none. Rows that repeat an id are merged for finding
-and keep a row each; of several licences of a text the best score counts, ties by name. Without rows
-the result is empty. Other columns are ignored.
+and keep a row each; of several licences of a text the best score counts, ties by name. A very long text
+is scanned whole. Without rows the result is empty. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm._store import materialize
+from ledgerfold.llm._store import materialize, spread_join
 
 # Short notices by which licences are known, from the licences' own texts.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -32,9 +34,15 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -80,11 +88,15 @@ def _heaviest(weights: dict[str, float], threshold: float) -> tuple[list[str], i
     return order, 1
 
 
-def detect(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.7, rare: float = 0.05) -> DataFrame:
-    """(doc_id, licence, score, part) of the documents that carry a licence; part is its share of the text's words.
+def _units(text: Column) -> Column:
+    """The lines of a text, and its paragraphs of several lines."""
+    unit = lambda kind: lambda content, at: F.struct(F.lit(kind).alias("kind"), at.alias("at"), content.alias("content"))
+    paragraphs = F.filter(F.split(text, "\n[ \t\r]*\n"), lambda p: F.instr(p, "\n") > 0)
+    return F.concat(F.transform(F.split(text, "\n"), unit("line")), F.transform(paragraphs, unit("paragraph")))
 
-    ``rare`` is left for callers that give it; no word is left out for being frequent.
-    """
+
+def detect(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.7) -> DataFrame:
+    """(doc_id, licence, score, part) of the documents that carry a licence; part is its share of the text's words."""
     spark = docs.sparkSession
     # Bounded by the fixed list of templates.
     words = [r[0] for r in _vocabulary(spark, templates).select("word").distinct().orderBy("word").collect()]
@@ -117,8 +129,8 @@ def detect(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.7, rare: f
 
     lines = (
         texts.where(may_reach(_tokens(F.col("text"))))
-        .select("doc_id", F.size(_tokens(F.col("text"))).alias("words"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
-        .select("doc_id", "words", "line", _tokens(F.col("content")).alias("tokens"))
+        .select("doc_id", F.size(_tokens(F.col("text"))).alias("words"), F.explode(_units(F.col("text"))).alias("u"))
+        .select("doc_id", "words", F.struct("u.kind", "u.at").alias("line"), _tokens(F.col("u.content")).alias("tokens"))
         .where(may_reach(F.col("tokens")))
     )
     weight = F.col("tf") * F.coalesce("idf", F.lit(most))
@@ -134,9 +146,10 @@ def detect(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.7, rare: f
     scores = dots.join(length, by_line).withColumn("score", F.round(F.try_divide("dot", F.col("norm") * F.col("t_norm")), 6))
     good = scores.where(F.col("score") >= threshold)
     per_line = good.groupBy("doc_id", "words", "line", "length").agg(F.min_by(F.struct("licence", "score"), F.struct(-F.col("score"), "licence")).alias("b"))
+    of = lambda kind: F.sum(F.when(F.col("line.kind") == kind, F.col("length")).otherwise(0))
     return per_line.groupBy("doc_id").agg(
         F.min_by(F.struct("b.licence", "b.score"), F.struct(-F.col("b.score"), "b.licence")).alias("b"),
-        F.least(F.sum("length") / F.max("words"), F.lit(1.0)).alias("part"),
+        F.least(F.greatest(of("line"), of("paragraph")) / F.max("words"), F.lit(1.0)).alias("part"),
     ).select("doc_id", "b.licence", "b.score", "part")
 
 
@@ -162,7 +175,7 @@ def inherit(paths: DataFrame, found: DataFrame, whole: float = 0.1) -> DataFrame
         .groupBy("directory").agg(F.max_by("given", F.length("ancestor")).alias("given"))
     )
     origin = F.when(F.col("licence").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited").otherwise("none")
-    return own.join(nearest, "directory", "left").select(
+    return spread_join(own, nearest, "directory", "doc_id").select(
         "doc_id", "path", F.coalesce("licence", "given.licence").alias("licence"),
         F.coalesce("score", "given.score").alias("score"), origin.alias("origin"),
     )

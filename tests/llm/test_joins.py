@@ -175,7 +175,7 @@ def test_licence_cosine_is_that_of_tf_idf(spark):
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     a, b = vec(texts[3]), vec(templates[0][1])
     want = sum(a.get(w, 0) * b[w] for w in b) / norm(a) / norm(b)
-    got = {r["doc_id"]: (r["licence"], r["score"]) for r in licenses.detect(docs, templates, threshold=0.01, rare=1.0).collect()}
+    got = {r["doc_id"]: (r["licence"], r["score"]) for r in licenses.detect(docs, templates, threshold=0.01).collect()}
     assert got[0] == ("MIT", 1.0) and got[1] == ("CC", 1.0) and got[3][0] == "MIT" and abs(got[3][1] - want) < 1e-5
 
 
@@ -204,6 +204,88 @@ def test_near_duplicates_of_lists_in_pieces(spark):
     assert got == plain_components(rows, 5, 80)
 
 
+def plain_licences(rows, threshold=0.7):
+    """rows of (doc_id, path, text), ids unique: (licence, score, origin) by id, line by line and template by template."""
+    marks = {ord(c): " " for c in ".,;:()[]\"'/-*#\t\r"}
+    tokens = lambda t: [w for w in re.split("[ \n]+", t.lower().translate(marks)) if w]
+    texts = {d: t for d, _, t in rows if t is not None}
+    vocabulary = {w for _, t in licenses.TEMPLATES for w in tokens(t)}
+    df = dict.fromkeys(vocabulary, 0)
+    for t in texts.values():
+        for w in vocabulary & set(tokens(t)):
+            df[w] += 1
+    n = len(rows)
+    idf = {w: math.log((n + 1) / min(df[w] + 1, n + 0.5)) for w in vocabulary}
+    vector = lambda ws: {w: ws.count(w) * idf.get(w, math.log(n + 1)) for w in set(ws)}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    templates = [(name, vector(tokens(t))) for name, t in licenses.TEMPLATES]
+    found = {}
+    for d, t in texts.items():
+        best, held = None, {"line": 0, "paragraph": 0}
+        units = [("line", x) for x in t.split("\n")] + [("paragraph", x) for x in re.split("\n[ \t\r]*\n", t) if "\n" in x]
+        for kind, unit in units:
+            ws = tokens(unit)
+            if not set(ws) & vocabulary:
+                continue
+            v = vector(ws)
+            scores = [(-round(sum(v.get(w, 0) * y[w] for w in y) / (norm(v) * norm(y)), 6), name) for name, y in templates if norm(v) * norm(y)]
+            if scores and -min(scores)[0] >= threshold:
+                held[kind] += len(ws)
+                best = min(best or (0, ""), min(scores))
+        if best:
+            found[d] = (best[1], -best[0], min(1, max(held.values()) / len(tokens(t))))
+    parent = lambda p: p.rsplit("/", 1)[0] if "/" in p else ""
+    files = {}
+    for d, p, _ in rows:
+        if p is not None and d in found and found[d][2] >= 0.1:
+            files.setdefault(parent(p), []).append((-found[d][2], p, found[d][:2]))
+    out = {}
+    for d, p, _ in rows:
+        if d in found:
+            out[d] = (*found[d][:2], "own")
+            continue
+        at = None if p is None else parent(p)
+        while at is not None and at not in files:
+            at = parent(at) if at else None
+        out[d] = (*min(files[at])[2], "inherited") if at is not None else (None, None, "none")
+    return out
+
+
+def test_licences_whole_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", licenses.document_path().alias("path"), "text").collect()]
+    got = {r["doc_id"]: (r["licence"], r["score"], r["origin"]) for r in QUERIES["op5_licenses"](spark, sf_dir).collect()}
+    want = plain_licences(rows)
+    assert {d: (x[0], x[2]) for d, x in got.items()} == {d: (x[0], x[2]) for d, x in want.items()}
+    assert all(abs((got[d][1] or 0) - (want[d][1] or 0)) < 2e-6 for d in want) and "own" in {x[2] for x in want.values()}
+
+
+@pytest.mark.parametrize("share", [0.03, 0.06, 0.5, 1.0])
+def test_licences_by_brute_force_at_any_frequency(spark, share):
+    rng = random.Random(int(100 * share))
+    notices = [t for _, t in licenses.TEMPLATES]
+    wrapped = "\n".join(" * " + x for x in ("Permission is hereby granted, free of charge, to any person", "obtaining a copy of this software and associated", "documentation files."))
+    rows = []
+    for i in range(200):
+        body = " ".join(rng.choice(("tree", "house", "the", "of", "license", "software", f"w{rng.randrange(99)}")) for _ in range(rng.randrange(1, 40)))
+        if i < 200 * share:
+            body = f"{body}\n{notices[1 + i % 3]}\n{body}" if i % 2 else f"{body}\n\n{wrapped}\n\nend"
+        rows.append((i, f"a/{'b/' * (i % 3)}{'c/' * (i % 5 == 0)}f{i}", body))
+    rows += [(900, "a/LICENSE", None), (901, None, notices[2]), (902, "top", "x " * 200_000 + "\n" + notices[4]), (903, "a/b/LICENSE", notices[6]), (904, "a/x", ""), (905, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    found = licenses.inherit(docs.select("doc_id", "path"), licenses.detect(docs)).collect()
+    want = plain_licences(rows)
+    assert {r["doc_id"]: (r["licence"], r["origin"]) for r in found} == {d: (x[0], x[2]) for d, x in want.items()}
+    assert sum(x[2] == "own" for x in want.values()) >= 200 * share
+
+
+def test_licences_of_repeated_rows(spark):
+    rows = [(1, "a/x", "Released under the MIT License."), (1, "a/x", "Released under the MIT License."), (1, "a/y", "plain"), (2, "a/z", "plain"), (None, "a/q", "Released under the MIT License.")]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = sorted((r["doc_id"] or 0, r["path"], r["licence"], r["origin"]) for r in licenses.inherit(docs.select("doc_id", "path"), licenses.detect(docs)).collect())
+    assert got == [(0, "a/q", "MIT", "inherited"), (1, "a/x", "MIT", "own"), (1, "a/x", "MIT", "own"), (1, "a/y", "MIT", "own"), (2, "a/z", "MIT", "inherited")]
+
+
 @pytest.mark.parametrize("every", [1, 3])
 def test_a_licence_of_a_large_part_of_the_documents_is_found(spark, every):
     notices = [t for _, t in licenses.TEMPLATES]
