@@ -1,5 +1,6 @@
 """Decontamination, licences, near-duplicates and the pipeline against brute force."""
 
+import itertools
 import math
 import random
 import re
@@ -100,7 +101,7 @@ def test_jaccard_repeated_and_missing_ids(spark):
     assert jaccard.components(docs.limit(0)).count() == 0
 
 
-def plain_overlap(doc, item, least=12, identity=0.8):
+def plain_overlap(doc, item, least=12, identity=0.8, fewest=10):
     best = 0
     for shift in range(-len(item) + 1, len(doc)):
         equal = [p for p in range(len(item)) if 0 <= p + shift < len(doc) and item[p] == doc[p + shift]]
@@ -108,33 +109,53 @@ def plain_overlap(doc, item, least=12, identity=0.8):
             for j in range(i, len(equal)):
                 if j - i + 1 >= identity * (equal[j] - equal[i] + 1) - 1e-9:
                     best = max(best, j - i + 1)
-    return best if best >= least else 0
+    return best if best >= least or fewest <= best == len(item) else 0
+
+
+def test_masks_hit_every_pattern_of_a_fifth_replaced():
+    rng = random.Random(1)
+    for length in range(12, 41):
+        replaced = length - max(12, math.ceil(0.8 * length - 1e-9))
+        inner = range(1, length - 1)
+        patterns = itertools.combinations(inner, replaced) if length <= 16 else (rng.sample(inner, replaced) for _ in range(3000))
+        for gone in map(set, patterns):
+            assert any(all(at + p not in gone for p in mask) for mask in decontamination.MASKS for at in range(length - max(mask))), (length, gone)
 
 
 def test_decontamination_tolerates_substitutions(spark):
     rng = random.Random(5)
     fresh = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
-    items = [[f"i{k}_{p}" for p in range(n)] for k, n in enumerate((40, 18, 12, 9))]
+    items = [[f"i{k}_{p}" for p in range(n)] for k, n in enumerate((40, 18, 15, 12, 11, 10, 9))]
     docs = []
     for item in items:
-        for changed in (0, 1, 3, 8):
+        for changed in (0, 1, 2, 3, 5, 8, 8, 8):
             passage = list(item)
             for at in rng.sample(range(len(item)), min(changed, len(item))):
                 passage[at] = "sub"
             docs.append(fresh(20) + passage + fresh(rng.randrange(40)))
-    docs += [items[0][:11] + fresh(30), items[0][5:25], fresh(50), [], ["one"]]
-    d = spark.createDataFrame([(i, " ".join(x), "clash") for i, x in enumerate(docs)] + [(900, None, "")], "doc_id long, text string, item_id string")
-    t = spark.createDataFrame([(i, " ".join(x).upper()) for i, x in enumerate(items)] + [(9, None), (9, "")], "item_id long, text string")
-    found = {(r["doc_id"], r["item_id"]): r["same_words"] for r in decontamination.overlaps(d, t).collect()}
-    want = {(i, k): n for i, x in enumerate(docs) for k, y in enumerate(items) if (n := plain_overlap(x, [w for w in y]))}
-    assert set(found) <= set(want) and all(found[p] == want[p] for p in found)
-    near = {(i, k) for (i, k), n in want.items() if n >= len(items[k]) - 3}
-    assert near <= set(found)
+    docs += [items[0][:11] + fresh(30), items[0][5:25], fresh(50), [], ["one"], ["one", "two"] * 60_000 + items[1] + ["end"]]
+    d = spark.createDataFrame([(i, " ".join(x), "clash") for i, x in enumerate(docs)] + [(900, None, ""), (2, " ".join(docs[2]), "")], "doc_id long, text string, item_id string")
+    t = spark.createDataFrame([(i, " ".join(x).upper()) for i, x in enumerate(items)] + [(9, None), (9, ""), (0, " ".join(items[0]))], "item_id long, text string")
+    rows = decontamination.overlaps(d, t).collect()
+    found = {(r["doc_id"], r["item_id"]): r["same_words"] for r in rows}
+    want = {(i, k): n for i, x in enumerate(docs) for k, y in enumerate(items) if len(x) < 1000 and (n := plain_overlap(x, y))} | {(len(docs) - 1, 1): 18}
+    assert found == want and len(rows) == len(found)
     kept = decontamination.clean(d, t)
     assert kept.columns == d.columns and 900 in {r["doc_id"] for r in kept.collect()}
     assert decontamination.overlaps(d.limit(0), t).count() == decontamination.overlaps(d, t.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("doc_type, item_type", [("smallint", "string"), ("string", "int"), ("decimal(10,2)", "date")])
+def test_decontamination_takes_ids_of_any_type(spark, doc_type, item_type):
+    text = " ".join(f"w{i}" for i in range(20))
+    d = spark.createDataFrame([(1, text), (2, "other"), (None, text)], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(doc_type))
+    item = F.to_date(F.lit("2024-05-06")) if item_type == "date" else F.lit("7").cast(item_type)
+    t = spark.createDataFrame([(text,)], "text string").select(item.alias("item_id"), "text")
+    got = decontamination.overlaps(d, t)
+    assert got.schema["doc_id"].dataType.simpleString() == doc_type and got.schema["item_id"].dataType.simpleString() == item_type
+    assert sorted(r["same_words"] for r in got.collect()) == [20, 20]
+
+
 def test_decontamination_finds_every_planted_item(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
