@@ -9,12 +9,17 @@ still reach m are probed by binary search. Which lists are long decides the work
 
 Documents with equal sets form a class and are searched once. Components are what is asked for, so
 in a list of more than ``merged`` documents each is first compared with a pivot alone; once those
-links are united, only documents of that list whose components still differ are compared, after
-bounds by size and by a bit sketch of the sets. No list is cut off, and no link that could join two
-components is missed.
+links are united, documents outside the list's largest component are compared with those of other
+components, after bounds by size and by a bit sketch of the sets. No list is cut off, and no link that
+could join two components is missed.
 
-A null, empty or blank text has an empty set and links with nothing. Rows that repeat an id are one
-document, which links by any of its texts. A null id links with nothing. Without rows the result is empty. Other columns are ignored.
+A list of a shingle that is frequent among some thousand documents is dealt to pieces of about
+``piece`` documents before the shuffle, each with pivots of its own, and the pivots of a list meet
+afterwards; so does what a piece beyond ``most`` rows is cut into. A frequent list needs no task of its own.
+
+A null, empty or blank text has an empty set and links with nothing; very long texts are read whole. Rows
+that repeat an id are one document, which links by any of its texts. A null id links with nothing. Ids are
+integers. Without rows the result is empty. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm._store import connected_components, materialize, small_batches
+from ledgerfold.llm._store import connected_components, discard, materialize, small_batches
 from ledgerfold.llm._text import shingles, slices, word_hashes
 
 #: Most shingles set aside as frequent, a bound of what is broadcast; it shifts work, not results.
@@ -38,6 +43,8 @@ _SKETCH = 16  # words of 64 bits
 _MAP_BITS = 1 << 24
 #: Documents of a long list that are compared in one piece with as many others.
 _BLOCK = 8192
+#: Pieces into which a list of all documents is dealt, and the least size of a piece.
+_PIECES, _LEAST_PIECE = 512, 512
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -107,11 +114,15 @@ def _prefixes(k: int, frequent: np.ndarray, num: int, den: int):
     return work
 
 
-def _by_list(batches: Iterator[pa.RecordBatch], columns: list[str], most: int | None = None) -> Iterator[tuple[bool, list[np.ndarray]]]:
+def _by_list(
+    batches: Iterator[pa.RecordBatch], columns: list[str], most: int | None = None, part: str | None = None
+) -> Iterator[tuple[bool, list[np.ndarray]]]:
     """Rows of sorted batches, list by list (the first column), lists of one row left out.
 
-    With ``most``, a longer list comes in pieces, the last of one row or more; each is told by True.
+    Lists of which column ``part`` says that they are a part of one, and pieces of lists longer than
+    ``most``, are told by True and come also if they have one row.
     """
+    flag = columns.index(part) if part else None
     held: list[np.ndarray] | None = None
     begun = None  # the list of the last piece
     for batch in batches:
@@ -121,6 +132,8 @@ def _by_list(batches: Iterator[pa.RecordBatch], columns: list[str], most: int |
         starts = np.concatenate([[0], cuts])
         sizes = np.diff(np.append(starts, len(held[0])))
         piece = held[0][starts[:-1]] == begun if begun is not None else np.zeros(len(starts) - 1, bool)
+        if flag is not None:
+            piece = piece | held[flag][starts[:-1]].astype(bool)
         for i in np.flatnonzero((sizes[:-1] > 1) | piece):
             yield bool(piece[i]), [x[starts[i] : starts[i] + sizes[i]] for x in held]
         held = [x[starts[-1] :] for x in held]
@@ -128,7 +141,7 @@ def _by_list(batches: Iterator[pa.RecordBatch], columns: list[str], most: int |
             yield True, held
             begun, held = held[0][0], None
     if held is not None and len(held[0]):
-        piece = begun is not None and held[0][0] == begun
+        piece = begun is not None and held[0][0] == begun or flag is not None and bool(held[flag][0])
         if piece or len(held[0]) > 1:
             yield bool(piece), held
 
@@ -158,33 +171,36 @@ def _rows(h: list, a: list, b: list, c: list, needed: list) -> pa.RecordBatch:
 
 
 def _merge_lists(merged: int, num: int, den: int, most: int = 1 << 16):
-    """From postings (h, doc, n, weight) sorted by h: rows (h, a, b, c, needed).
+    """From postings (g, h, doc, n, weight, split) sorted by g: rows (h, a, b, c, needed).
 
     With h 0, a pair, the number of short lists that both are in, and how many they need. Otherwise the
     list h is long and holds document a; its documents are paired with a pivot, that counts for nothing.
-    A list of more than ``most`` comes in pieces, and each, however short, is a part of a long list.
+    A g is a list, or a part of one if ``split``; a g of more than ``most`` comes in pieces. Each part and
+    piece, however short, belongs to a long list, and c is 1 for its pivots, which others have to meet.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], [], []]
         held = 0
-        for piece, (shingle, doc, n, weight) in _by_list(batches, ["h", "doc", "n", "weight"], most):
+        for piece, (_, shingle, doc, n, weight, _) in _by_list(batches, ["g", "h", "doc", "n", "weight", "split"], most, "split"):
             k = len(doc)
             short = k <= merged and not piece
             if short:
                 i, j = np.triu_indices(k, 1)
             else:
                 rest, i, j = np.lexsort((doc, n, -weight)), [], []
+                pivot = np.zeros(k, np.int64)
                 while len(rest):
                     near = np.minimum(n[rest], n[rest[0]]) * den >= np.maximum(n[rest], n[rest[0]]) * num
                     near[0] = False
+                    pivot[rest[0]] = piece or k > most
                     j.append(rest[near])
                     i.append(np.full(len(j[-1]), rest[0]))
                     near[0] = True
                     rest = rest[~near]
                 i, j = np.concatenate(i), np.concatenate(j)
                 none = np.zeros(k, np.int64)
-                for x, new in zip(out, (np.where(shingle == 0, 1, shingle), doc, none, none, none), strict=True):
+                for x, new in zip(out, (np.where(shingle == 0, 1, shingle), doc, none, pivot, none), strict=True):
                     x.append(new)
                 held += k
             fits = np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num
@@ -202,28 +218,33 @@ def _merge_lists(merged: int, num: int, den: int, most: int = 1 << 16):
 
 
 def _still_apart(num: int, den: int):
-    """From rows (h, doc, n, long, component, sketch) sorted by h: pairs of different components that may link.
-
-    Here h names two blocks of a list, so that the rows of one h are bounded.
+    """From rows (g, probe, doc, n, long, component, sketch) sorted by g: pairs of a probe and another document of the
+    same g, of different components, that may link. The rows of one g are bounded.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (_, doc, n, long, component, sketch) in _by_list(batches, ["h", "doc", "n", "long", "component", "sketch"]):
-            order = np.argsort(n, kind="stable")
-            doc, n, long, component, sketch = doc[order], n[order], long[order], component[order], sketch[order]
-            last = np.searchsorted(n * num, n * den, side="right")  # no larger set than this fits
-            step = max(1, (1 << 19) // len(doc))
+        for _, (_, probe, *columns) in _by_list(batches, ["g", "probe", "doc", "n", "long", "component", "sketch"]):
+            sides = []
+            for which in (np.flatnonzero(probe), np.flatnonzero(~probe)):
+                which = which[np.argsort(columns[1][which], kind="stable")]
+                sides.append([x[which] for x in columns])
+            (doc, n, long, component, sketch), (doc_2, n_2, long_2, component_2, sketch_2) = sides
+            if not len(doc) or not len(doc_2):
+                continue
+            # Partners have at least num/den and at most den/num of a probe's shingles.
+            first, last = np.searchsorted(n_2 * den, n * num, side="left"), np.searchsorted(n_2 * num, n * den, side="right")
+            step = max(1, (1 << 19) // len(doc_2))
             for at in range(0, len(doc), step):
                 rows = np.arange(at, min(at + step, len(doc)))
-                cols = np.arange(at, last[rows].max())
-                differ = np.bitwise_count(sketch[rows][:, None] ^ sketch[cols][None]).sum(2, dtype=np.int64)
-                total = n[rows][:, None] + n[cols][None]
+                cols = np.arange(first[rows].min(), last[rows].max())
+                differ = np.bitwise_count(sketch[rows][:, None] ^ sketch_2[cols][None]).sum(2, dtype=np.int64)
+                small, large = np.minimum(n[rows][:, None], n_2[cols][None]), np.maximum(n[rows][:, None], n_2[cols][None])
+                total = small + large
                 may = (total - differ) * (num + den) >= 2 * num * total
-                may &= (component[rows][:, None] != component[cols][None]) & (cols[None] > rows[:, None])
-                may &= n[rows][:, None] * den >= n[cols][None] * num
-                may &= np.minimum(long[rows][:, None], long[cols][None]) >= _needed(n[rows])[:, None]
+                may &= (component[rows][:, None] != component_2[cols][None]) & (small * den >= large * num)
+                may &= np.minimum(long[rows][:, None], long_2[cols][None]) >= _needed(small)
                 i, j = np.nonzero(may)
-                i, j = doc[rows[i]], doc[cols[j]]
+                i, j = doc[rows[i]], doc_2[cols[j]]
                 if len(i):
                     both = np.unique(np.column_stack([np.minimum(i, j), np.maximum(i, j)]), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
@@ -277,6 +298,36 @@ def _probe(num: int, den: int):
     return work
 
 
+def _pivot_pairs(lists: DataFrame, reps: DataFrame, num: int, den: int, most: int) -> DataFrame:
+    """Rows like those of ``lists``: pairs of the pivots of lists that came in several parts."""
+    pivots = lists.where("h <> 0 and c = 1").select("h", F.col("a").alias("doc")).join(reps.select("doc", "n", "weight"), "doc")
+    rows = pivots.select(F.col("h").alias("g"), "h", "doc", "n", "weight", F.lit(False).alias("split")).distinct()
+    met = rows.repartition("g").sortWithinPartitions("g").mapInArrow(_merge_lists(1, num, den, most), "h long, a long, b long, c long, needed long")
+    return met.where("h = 0")
+
+
+def _to_compare(lists: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows (g, probe, ...) of documents that share a long list but not yet a component.
+
+    A list's largest component is only compared with what is outside it. Both sides of the comparison
+    come in blocks of bounded size, and every block of one side meets every block of the other.
+    """
+    long = lists.where("h <> 0").select("h", F.col("a").alias("doc")).distinct()
+    long = long.join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    sizes = long.groupBy("h", "component").agg(F.count("*").alias("k"))
+    apart = sizes.groupBy("h").agg(
+        F.count("*").alias("components"), F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("largest")
+    ).where("components > 1")
+    blocks = apart.select("h", "largest", F.ceil(F.col("n") / _BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / _BLOCK).alias("probes"))
+    rows = long.join(blocks, "h").join(docs, "doc")
+    own = lambda of, seed: F.pmod(F.xxhash64("doc", F.lit(seed)), F.col(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    rest = ("doc", "n", "long", "component", "sketch")
+    asked = rows.withColumns({"i": own("blocks", 0)}).withColumn("j", every("probes")).select(F.xxhash64("h", "i", "j").alias("g"), F.lit(False).alias("probe"), *rest)
+    probes = rows.where("component <> largest").withColumns({"j": own("probes", 1)}).withColumn("i", every("blocks"))
+    return asked.unionByName(probes.select(F.xxhash64("h", "i", "j").alias("g"), F.lit(True).alias("probe"), *rest))
+
+
 def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link, written down. ``reps`` has doc, n and sketch."""
     one = lambda x: reps.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
@@ -284,29 +335,39 @@ def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num: int,
     total = F.col("n_a") + F.col("n_b")
     may = (total - differ) * (num + den) >= 2 * num * total
     pairs = materialize(pairs.join(one("a"), "a").join(one("b"), "b").where(may).select("a", "b"), "candidates")
+    if pairs.isEmpty():
+        return pairs
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
     wanted = materialize(wanted, "candidate-ids")
     bit = F.pmod(F.xxhash64("doc"), F.lit(_MAP_BITS))
     texts = docs.select(F.col("doc_id").alias("doc"), "text").where("doc is not null").withColumn("bit", bit)
     sets = texts.mapInArrow(_marked_sets(k, _marked(wanted)), "doc long, shingles array<long>")
-    sets = materialize(sets.join(wanted, "doc", "left_semi").distinct(), "sets")
+    with small_batches(docs.sparkSession):
+        sets = materialize(sets.join(wanted, "doc", "left_semi").distinct(), "sets")
     both = pairs.join(sets.withColumnsRenamed({"doc": "a", "shingles": "left"}), "a").join(
         sets.withColumnsRenamed({"doc": "b", "shingles": "right"}), "b"
     )
-    return materialize(both.mapInArrow(_probe(num, den), "a long, b long"), "links")
+    out = materialize(both.mapInArrow(_probe(num, den), "a long, b long"), "links")
+    for done in (pairs, wanted, sets):
+        discard(done)
+    return out
 
 
-def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, merged: int = 16, most: int = 1 << 16) -> DataFrame:
+def components(
+    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, merged: int = 16, most: int = 1 << 16, piece: int | None = None
+) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
     Documents link if ``den`` times the intersection of their sets of ``k`` words is at least ``num``
-    times the union. component_id is the smallest doc_id that links reach.
+    times the union. component_id is the smallest doc_id that links reach. ``merged``, ``most`` and
+    ``piece`` (by default a share of all documents) decide how lists are dealt out, never the result.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialize(
-        texts.mapInArrow(_describe(k), "doc_id long, n long, digest string, frequent array<struct<shingle:long,n:long>>"), "sizes"
-    )
+    with small_batches(spark):
+        rows = materialize(
+            texts.mapInArrow(_describe(k), "doc_id long, n long, digest string, frequent array<struct<shingle:long,n:long>>"), "sizes"
+        )
     classes = materialize(
         rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(
             F.min("doc_id").alias("doc"), F.count("*").alias("weight")
@@ -314,24 +375,31 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, merge
         "classes",
     )
     often = rows.select(F.explode("frequent").alias("f")).groupBy("f.shingle").agg(F.sum("f.n").alias("n"))
-    often = often.orderBy(F.desc("n"), "shingle").limit(_FREQUENT).toPandas()["shingle"]
-    frequent = np.sort(often.to_numpy(np.int64).view(np.uint64))
+    often = materialize(often.orderBy(F.desc("n"), "shingle").limit(_FREQUENT), "frequent")
+    frequent = np.sort(often.select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
 
     prefixes = texts.where("doc_id is not null").mapInArrow(
         _prefixes(k, frequent, num, den), "doc long, n long, prefix array<long>, sketch array<long>"
     )
     weights = classes.groupBy("doc").agg(F.max("weight").alias("weight"))
-    reps = materialize(prefixes.join(weights, "doc").dropDuplicates(["doc", "n", "sketch", "prefix"]), "prefixes")
-    postings = reps.select(F.explode("prefix").alias("h"), "doc", "n", "weight")
-    merged_lists = materialize(
-        postings.repartition("h").sortWithinPartitions("h").mapInArrow(
+    with small_batches(spark):
+        reps = materialize(prefixes.join(weights, "doc").dropDuplicates(["doc", "n", "sketch", "prefix"]), "prefixes")
+    # Of the frequent shingles, which are no more than _FREQUENT, those whose lists are longer than a piece.
+    piece = piece or max(_LEAST_PIECE, weights.count() // _PIECES)
+    pieces = F.broadcast(often.where(F.col("n") > piece).select(F.col("shingle").alias("h"), F.ceil(F.col("n") / piece).alias("pieces")))
+    postings = reps.select(F.explode("prefix").alias("h"), "doc", "n", "weight").join(pieces, "h", "left")
+    part = F.xxhash64("h", F.pmod(F.xxhash64("doc"), F.col("pieces")))
+    postings = postings.select(F.coalesce(part, "h").alias("g"), "h", "doc", "n", "weight", F.col("pieces").isNotNull().alias("split"))
+    lists = materialize(
+        postings.repartition("g").sortWithinPartitions("g").mapInArrow(
             _merge_lists(merged, num, den, most), "h long, a long, b long, c long, needed long"
         ),
         "lists",
     )
-    in_long = materialize(merged_lists.where("h <> 0").groupBy(F.col("a").alias("doc")).agg(F.count("*").alias("long")), "long")
+    in_long = materialize(lists.where("h <> 0").groupBy(F.col("a").alias("doc")).agg(F.count("*").alias("long")), "long")
     # A pair shares at most as many long lists as each of its documents is in.
-    shared = merged_lists.where("h = 0 and a < b").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("needed").alias("needed"))
+    met = lists.where("h = 0").unionByName(_pivot_pairs(lists, reps, num, den, most))
+    shared = met.where("a < b").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("needed").alias("needed"))
     pairs = materialize(
         shared.join(in_long.withColumnsRenamed({"doc": "a", "long": "l_a"}), "a", "left")
         .join(in_long.withColumnsRenamed({"doc": "b", "long": "l_b"}), "b", "left")
@@ -341,19 +409,9 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, merge
     first = _links(texts, reps, pairs.select("a", "b"), k, num, den)
 
     known = connected_components(first).withColumnsRenamed({"node": "doc"})
-    long = merged_lists.where("h <> 0").select("h", F.col("a").alias("doc"))
-    long = long.join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    apart = long.groupBy("h").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / _BLOCK).alias("blocks")
-    ).where("low <> high")
-    # Every two blocks of a list meet once; a list of up to _BLOCK documents is one block.
-    own = F.pmod(F.xxhash64("doc"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    in_blocks = long.join(apart.select("h", "blocks"), "h").withColumn("own", own).withColumn("other", other)
+    rows_of = in_long.join(reps.select("doc", "n", "sketch"), "doc")
     rest = (
-        in_blocks.withColumn("h", F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")))
-        .select("h", "doc", "component").join(reps.select("doc", "n", "sketch"), "doc").join(in_long, "doc")
-        .repartition("h").sortWithinPartitions("h").select("h", "doc", "n", "long", "component", "sketch")
+        _to_compare(lists, known, rows_of).repartition("g").sortWithinPartitions("g")
         .mapInArrow(_still_apart(num, den), "a long, b long").where("a < b").distinct()
     )
     # Pairs that share a short list too were decided above.

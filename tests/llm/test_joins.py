@@ -204,7 +204,8 @@ def test_licence_cosine_is_that_of_tf_idf(spark):
 def test_no_piece_of_a_long_list_is_short_or_lost(rows):
     column = lambda x: pa.array(np.array(x, np.int64))
     docs = list(range(100, 100 + len(rows)))
-    table = pa.RecordBatch.from_arrays([column(rows), column(docs), column([9] * len(rows)), column([1] * len(rows))], ["h", "doc", "n", "weight"])
+    none = pa.array([False] * len(rows))
+    table = pa.RecordBatch.from_arrays([column(rows), column(rows), column(docs), column([9] * len(rows)), column([1] * len(rows)), none], ["g", "h", "doc", "n", "weight", "split"])
     batches = [table.slice(at, 5) for at in range(0, len(rows), 5)]
     out = [tuple(r.values()) for b in jaccard._merge_lists(3, 80, 100, 4)(iter(batches)) for r in b.to_pylist()]
     held = [d for h, d in zip(rows, docs, strict=True) if h == 7]
@@ -212,6 +213,27 @@ def test_no_piece_of_a_long_list_is_short_or_lost(rows):
     assert not [r for r in out if r[0] == 0 and r[3] > 0 and r[1] in held]
 
 
+@pytest.mark.parametrize("rest", [1, 2, 16, 17])
+def test_lists_beyond_a_piece_keep_every_document(rest):
+    n = (1 << 16) + rest
+    column = lambda x: pa.array(np.full(n, x, np.int64))
+    table = pa.RecordBatch.from_arrays([column(5), column(5), pa.array(np.arange(n)), column(9), column(1), pa.array(np.zeros(n, bool))], ["g", "h", "doc", "n", "weight", "split"])
+    out = pa.Table.from_batches(jaccard._merge_lists(16, 80, 100, (1 << 16) - 1)(table.slice(at, 1 << 15) for at in range(0, n, 1 << 15)))
+    h, a, b, c = (out.column(x).to_numpy() for x in "habc")
+    assert sorted(a[h == 5]) == list(range(n)) and not c[h == 0].any()
+    pivots = set(a[(h == 5) & (c == 1)])
+    assert {*a[h == 0], *b[h == 0], *pivots} == set(range(n)) and len(pivots) == 2
+
+
+def test_parts_of_a_list_of_one_row_are_long():
+    rows = [(1, 7, 10, True), (2, 7, 11, True), (3, 8, 12, False), (4, 7, 13, True), (4, 7, 14, True)]
+    g, h, doc, split = (pa.array(list(x)) for x in zip(*rows, strict=True))
+    same = pa.array([9] * 5)
+    table = pa.RecordBatch.from_arrays([g, h, doc, same, same, split], ["g", "h", "doc", "n", "weight", "split"])
+    out = [r for b in jaccard._merge_lists(16, 80, 100)(iter([table.slice(0, 2), table.slice(2)])) for r in b.to_pylist()]
+    assert sorted((r["h"], r["a"], r["b"], r["c"]) for r in out) == [(0, 13, 14, 0), (7, 10, 0, 1), (7, 11, 0, 1), (7, 13, 0, 1), (7, 14, 0, 0)]
+
+
 def test_near_duplicates_of_lists_in_pieces(spark):
     rows = list(enumerate(near_copies(57, 3) + near_copies(4, 4)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -219,10 +241,26 @@ def test_near_duplicates_of_lists_in_pieces(spark):
     before = spark.conf.get(name)
     spark.conf.set(name, 5)
     try:
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components(docs, most=4).collect()}
+        for options in ({"most": 4}, {"piece": 3}, {"piece": 5, "most": 4, "merged": 2}):
+            found = jaccard.components(docs, **options)
+            got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()}
+            assert got == plain_components(rows, 5, 80), options
+        assert int(spark.conf.get(name)) == 5
     finally:
         spark.conf.set(name, before)
-    assert got == plain_components(rows, 5, 80)
+
+
+def test_long_lists_of_many_components(spark, monkeypatch):
+    """A passage that most documents are made of, with chains of near copies across the blocks of its lists."""
+    monkeypatch.setattr(jaccard, "_BLOCK", 7)
+    rng = random.Random(6)
+    passages = [" ".join(f"p{j}_{i}" for i in range(24)) for j in range(3)]
+    texts = [" ".join([*rng.sample(passages, rng.randrange(1, 4)), *(f"y{rng.randrange(6)}" for _ in range(rng.randrange(7)))]) for _ in range(150)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({"merged": 3}, {"merged": 3, "piece": 10}):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components(docs, **options).collect()}
+        assert got == plain_components(rows, 5, 80)
 
 
 def plain_licences(rows, threshold=0.7):
