@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerfold.functions.ordering import running
+
 
 def commit_candidate(matches: DataFrame) -> DataFrame:
     """(grp, commit_candidate): the index that a majority of peers (grp, peer, match_index) has reached."""
@@ -27,6 +29,13 @@ def acknowledged(acks: DataFrame, members: int) -> DataFrame:
     return acks.groupBy("context").agg(F.count_distinct("peer").alias("acks")).where(F.col("acks") >= members // 2 + 1)
 
 
+def check_quorum(contacts: DataFrame, leader: int, now: int, window: int, members: int) -> DataFrame:
+    """(grp, active, keeps): how many members of each group, its leader included, were heard (grp, peer, at) within
+    ``window`` before ``now``, and whether they are a majority."""
+    heard = F.count_distinct(F.when((F.col("at") > now - window) & (F.col("peer") != leader), F.col("peer")))
+    return contacts.groupBy("grp").agg((heard + 1).alias("active")).withColumn("keeps", F.col("active") >= members // 2 + 1)
+
+
 def more_up_to_date(logs: DataFrame) -> DataFrame:
     """(grp, node): of (grp, node, idx, term) the node whose last entry has the highest term, then index."""
     last = logs.groupBy("grp", "node").agg(F.max(F.struct("term", "idx")).alias("last"))
@@ -50,6 +59,21 @@ def unmatched(log: DataFrame) -> DataFrame:
     return per.where("low <> high").select("grp", "idx", "term")
 
 
+def prefix_mismatches(log: DataFrame) -> DataFrame:
+    """(grp, idx, term) of entries (grp, node, idx, term, payload) that nodes share although what is before them, or
+    they themselves, differ.
+
+    A prefix is told by the sum of its entries' hashes, taken along one order of all logs in ranges; two
+    logs that differ have the same sum by chance alone (2^-64).
+    """
+    entry = F.xxhash64("idx", "term", "payload").cast("decimal(38,0)")
+    upto = running(log.withColumn("_hash", entry), "_hash", "grp", "node", "idx", how="sum", name="_upto")
+    starts = upto.groupBy("grp", "node").agg(F.min_by(F.col("_upto") - F.col("_hash"), "idx").alias("_start"))
+    prefix = upto.join(starts, ["grp", "node"]).withColumn("_prefix", F.col("_upto") - F.col("_start"))
+    per = prefix.groupBy("grp", "idx", "term").agg(F.min("_prefix").alias("low"), F.max("_prefix").alias("high"))
+    return per.where("low <> high").select("grp", "idx", "term")
+
+
 def merge_suffix(own: DataFrame, sent: DataFrame) -> DataFrame:
     """A follower's log (idx, term, payload) after an append: cut at the first entry whose term differs, then extended."""
     both = own.select("idx", F.col("term").alias("t")).join(sent.select("idx", F.col("term").alias("u")), "idx")
@@ -70,9 +94,26 @@ def rewritten(observations: DataFrame) -> DataFrame:
 
 
 def incomplete_leaders(committed: DataFrame, leader_log: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Entries (idx, term) committed in an earlier term that a leader's log (term_led, idx, term) lacks."""
-    due = leaders.select("term_led").join(committed, F.col("term") < F.col("term_led"))
-    return due.join(leader_log, ["term_led", "idx", "term"], "left_anti")
+    """(term_led, due, held) of leaders whose log (term_led, idx, term) lacks entries (idx, term) that were committed
+    in an earlier term: how many of those there are, and how many it has.
+
+    Counts by term are enough to tell, so no leader meets every entry. ``missing_of`` names the entries of a few.
+    """
+    distinct = committed.select("idx", "term").distinct()
+    both = distinct.groupBy("term").agg(F.count("*").alias("n")).select("term", F.lit(0).alias("leads"), "n").unionByName(
+        leaders.select(F.col("term_led").alias("term"), F.lit(-1).alias("leads"), F.lit(0).cast("long").alias("n")).distinct()
+    )
+    # A leader sorts before the entries of its own term, which are not due.
+    due = running(both, "n", "term", "leads", how="sum", name="due").where("leads = -1").select(F.col("term").alias("term_led"), "due")
+    known = leader_log.select("term_led", "idx", "term").distinct().where("term < term_led").join(distinct, ["idx", "term"], "left_semi")
+    held = known.groupBy("term_led").agg(F.count("*").alias("held"))
+    return due.join(held, "term_led", "left").fillna(0, ["held"]).where("held < due")
+
+
+def missing_of(term_led: int, committed: DataFrame, leader_log: DataFrame) -> DataFrame:
+    """The entries (idx, term) that the leader of one term lacks."""
+    due = committed.select("idx", "term").distinct().where(F.col("term") < term_led)
+    return due.join(leader_log.where(F.col("term_led") == term_led), ["idx", "term"], "left_anti")
 
 
 def applied_twice(applied: DataFrame) -> DataFrame:
@@ -84,9 +125,8 @@ def applied_twice(applied: DataFrame) -> DataFrame:
 def stale_reads(reads: DataFrame, commits: DataFrame) -> DataFrame:
     """Reads (read_id, at, read_index) below what was committed (at, commit_index) when they were issued."""
     one = lambda df, kind: df.select("at", F.lit(kind).alias("kind"), *(F.col(c) if c in df.columns else F.lit(None).cast("long").alias(c) for c in ("read_id", "read_index", "commit_index")))
-    both = one(commits, 0).unionByName(one(reads, 1))
-    known = F.max("commit_index").over(Window.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("known", known).where("kind = 1 and read_index < known").select("read_id", "read_index", "known")
+    both = running(one(commits, 0).unionByName(one(reads, 1)), "commit_index", "at", "kind", name="known")
+    return both.where("kind = 1 and read_index < known").select("read_id", "read_index", "known")
 
 
 def conserved(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -100,7 +140,8 @@ def linearizable(ops: list[dict], budget: int = 5_000_000) -> bool | None:
     """Whether one key's operations have an order that a single register allows; None beyond the budget.
 
     Each has kind (put, get, cas), value, expected, completed, observed, applied, invoke and ret. An
-    operation that did not complete may have happened, at any time from its start, or not at all.
+    operation that did not complete may have happened, at any time from its start, or not at all. One that
+    starts when another ends comes after it.
     """
     ops = sorted(ops, key=lambda o: (o["invoke"], o["ret"]))
     must = sum(1 << i for i, o in enumerate(ops) if o["completed"])
@@ -120,7 +161,7 @@ def linearizable(ops: list[dict], budget: int = 5_000_000) -> bool | None:
         first_end = min(end[i] for i in open_)
         for i in open_:
             o = ops[i]
-            if o["invoke"] > first_end:
+            if o["invoke"] >= first_end:
                 break
             if o["kind"] == "get":
                 if o["completed"] and o["observed"] != value:

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerfold.functions.ordering import running
+
 
 def percentiles(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
     """For each group, the element at 0-based position min(n - 1, floor(share * n)) of its sorted values.
 
-    Equal values are counted before the shuffle, so a hot group brings its distinct values alone.
+    Equal values are counted before the shuffle, and the counts are summed up along one order of all groups
+    and values, dealt out by ranges; so a group of many values is spread over all tasks.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(group).orderBy(value)
-    placed = counts.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "n", F.sum("c").over(Window.partitionBy(group))
-    )
+    upto = running(counts, "c", group, value, how="sum", name="upto")
+    sizes = upto.groupBy(group).agg(F.sum("c").alias("n"), F.min(F.col("upto") - F.col("c")).alias("start"))
+    placed = upto.withColumnRenamed(group, "_group").join(sizes, F.col("_group").eqNullSafe(F.col(group)))
+    end = F.col("upto") - F.col("start")
     at = lambda share: F.least(F.col("n") - 1, F.floor(F.lit(share) * F.col("n")))
-    pick = lambda share: F.max(F.when((at(share) >= F.col("upto") - F.col("c")) & (at(share) < F.col("upto")), F.col(value)))
+    pick = lambda share: F.max(F.when((at(share) >= end - F.col("c")) & (at(share) < end), F.col(value)))
     return placed.groupBy(group).agg(*(pick(s).alias(name) for name, s in shares.items()))
 
 

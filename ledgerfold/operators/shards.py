@@ -6,8 +6,11 @@ contiguous. A catalog is the description of a cluster, a row for each shard, not
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerfold.functions.keys import in_range, overlaps
 from ledgerfold.functions.ordering import numbered
@@ -30,18 +33,38 @@ def newest(catalogs: DataFrame) -> DataFrame:
     return catalogs.join(F.broadcast(top), "epoch", "left_semi")
 
 
+#: Shards up to which a key is looked up by a tree of comparisons instead of an array.
+_TREE = 1024
+
+
 def route(rows: DataFrame, catalog: DataFrame, key: str = "key") -> DataFrame:
-    """Adds shard_id to each row, by an equi-join instead of a join by range.
+    """Adds shard_id to each row by looking its key up among the shards' first keys; no row is shuffled.
 
-    A row looks up its own first byte; the catalog is expanded to the first bytes that each range
-    touches, at most 256 rows a shard, and what remains is compared exactly.
+    A catalog is a row for each shard, so the driver may read it. The look-up is a balanced tree of
+    comparisons inside the plan; catalogs of more than ``_TREE`` shards are searched in Arrow batches.
+    A null key belongs to no shard, and its row is dropped.
     """
-    first = lambda c: F.conv(F.substring(F.hex(F.encode(c, "UTF-8")), 1, 2), 16, 10).cast("int")
-    lead = F.coalesce(first(F.col(key)), F.lit(0))
-    low, high = F.coalesce(first(F.col("lo")), F.lit(0)), F.coalesce(first(F.col("hi")), F.lit(255))
-    wide = catalog.select("shard_id", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(F.sequence(low, F.greatest(low, high))).alias("_lead"))
-    joined = rows.withColumn("_lead", lead).join(wide, "_lead")
-    return joined.where(in_range(F.col(key), F.col("_lo"), F.col("_hi"))).drop("_lead", "_lo", "_hi")
+    known = sorted(catalog.select("lo", "shard_id").collect(), key=lambda r: (r["lo"] is not None, (r["lo"] or "").encode()))
+    out_type = catalog.schema["shard_id"].dataType
+
+    def tree(part: list) -> Column:
+        if len(part) == 1:
+            return F.lit(part[0]["shard_id"]).cast(out_type)
+        mid = len(part) // 2
+        return F.when(F.col(key) < F.lit(part[mid]["lo"]), tree(part[:mid])).otherwise(tree(part[mid:]))
+
+    some = rows.where(F.col(key).isNotNull())
+    if len(known) <= _TREE:
+        return some.withColumn("shard_id", tree(known)) if known else some.limit(0).withColumn("shard_id", F.lit(None).cast(out_type))
+    starts = np.array([r["lo"].encode() for r in known[1:]], dtype=object)
+    ids = pa.array([r["shard_id"] for r in known])
+
+    @F.arrow_udf(out_type)
+    def search(keys: pa.Array) -> pa.Array:
+        at = np.searchsorted(starts, np.array([k.encode() for k in keys.to_pylist()], dtype=object), side="right")
+        return ids.take(pa.array(at)).cast(to_arrow_type(out_type))
+
+    return some.withColumn("shard_id", search(F.col(key).cast("string")))
 
 
 def overlapping(catalog: DataFrame, start: str | None, end: str | None) -> DataFrame:
@@ -90,10 +113,31 @@ def set_owned(current: DataFrame, lo: str | None, hi: str | None, epoch: int) ->
     return current.withColumns({c: F.when(ok, v).otherwise(F.col(c)) for c, v in new.items()} | {"accepted": ok})
 
 
-def fence_allowed(locks: DataFrame, lo: str | None, hi: str | None) -> DataFrame:
-    """One row (allowed): whether no lock lies in the span to be fenced."""
+def fence(current: DataFrame, locks: DataFrame, lo: str | None, hi: str | None) -> DataFrame:
+    """A one-row range state in which writes to [lo, hi) are held back, and whether that was accepted.
+
+    Refused, without a change, if the shard owns nothing or a lock lies in the span. A shard without a range
+    (owns null) becomes the owner of all.
+    """
+    lit = lambda x: F.lit(x).cast("string")
+    held = locks.where(in_range(F.col("key"), lit(lo), lit(hi))).agg((F.count("*") == 0).alias("_free"))
+    both = current.join(F.broadcast(held), F.lit(True))
+    ok = F.col("_free") & F.coalesce("owns", F.lit(True))
+    new = {"owns": F.lit(True), "fence_lo": lit(lo), "fence_hi": lit(hi), "fenced": F.lit(True)}
+    return both.withColumns({c: F.when(ok, v).otherwise(F.col(c)) for c, v in new.items()} | {"accepted": ok}).drop("_free")
+
+
+def purge(state: DataFrame, lo: str | None, hi: str | None, limit: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The state without the keys outside [lo, hi), the first ``limit`` of them if given, and one row (deleted).
+
+    Call again while it deletes something; without a limit all go at once.
+    """
     lit = lambda x: F.lit(x).cast("string")
-    return locks.where(in_range(F.col("key"), lit(lo), lit(hi))).agg((F.count("*") == 0).alias("allowed"))
+    outside = state.where(~in_range(F.col("key"), lit(lo), lit(hi))).select("key")
+    if not limit:
+        return state.where(in_range(F.col("key"), lit(lo), lit(hi))), outside.agg(F.count("*").alias("deleted"))
+    gone = outside.orderBy("key").limit(limit)
+    return state.join(gone, "key", "left_anti"), gone.agg(F.count("*").alias("deleted"))
 
 
 def purge_pages(state: DataFrame, lo: str | None, hi: str | None, size: int = 10_000) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerfold.functions.ordering import running
+
+#: Checks and writes that one batch may hold.
 MOST_IN_BATCH = 10_000
 
 
@@ -36,21 +42,38 @@ def compare_and_swap(commands: DataFrame) -> DataFrame:
 
 
 def cas_outcomes(commands: DataFrame) -> DataFrame:
-    """(seq, key, applied, observed) of every cas command; observed is the value that refused it."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "op", "expected", "value")))
-    step = "struct<now:string,out:array<struct<seq:bigint,applied:boolean,observed:string>>>"
-    none = F.expr(f"cast(named_struct('now', cast(null as string), 'out', array()) as {step})")
-
-    def fold(acc: Column, c: Column) -> Column:
-        cas = c["op"] == "cas"
-        ok = acc["now"].eqNullSafe(c["expected"])
-        now = F.when(cas & ~ok, acc["now"]).when(c["op"] == "delete", F.lit(None)).otherwise(c["value"])
-        row = F.struct(c["seq"].alias("seq"), ok.alias("applied"), F.when(~ok, acc["now"]).alias("observed"))
-        out = F.when(cas, F.concat(acc["out"], F.array(row))).otherwise(acc["out"])
-        return F.struct(now.alias("now"), out.alias("out")).cast(step)
+    """(seq, key, applied, observed) of every cas command; observed is the value that refused it.
 
-    folded = commands.groupBy("key").agg(F.aggregate(ordered, none, fold).alias("f"))
-    return folded.select("key", F.explode("f.out").alias("o")).select("o.seq", "key", "o.applied", "o.observed")
+    After a put or a delete a key's value is known whatever came before, so a log falls into runs that begin
+    with one. Runs are dealt out and sorted, and a task reads its runs row by row, holding one value; a key that
+    holds a third of the log is spread over as many tasks as it has runs.
+    """
+    key_type, seq_type = (commands.schema[c].dataType.simpleString() for c in ("key", "seq"))
+    typed = commands.select("seq", "key", "op", F.col("expected").cast("string").alias("expected"), F.col("value").cast("string").alias("value"))
+    fixed = F.when(F.col("op") != "cas", F.struct("key", "seq"))
+    runs = running(typed.withColumn("_fixed", fixed), "_fixed", "key", "seq", name="_last")
+    run = F.when(F.col("_last.key").eqNullSafe(F.col("key")), F.col("_last.seq"))
+    dealt = runs.select("seq", "key", "op", "expected", "value", run.alias("run")).repartition("key", "run").sortWithinPartitions("key", "run", "seq")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, now = None, None
+        for batch in batches:
+            rows: list[list] = [[], [], [], []]
+            for seq, key, op, expected, value, run in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (key, run):
+                    at, now = (key, run), None
+                if op != "cas":
+                    now = value if op == "put" else None
+                    continue
+                applied = now == expected
+                for column, x in zip(rows, (seq, key, applied, None if applied else now), strict=True):
+                    column.append(x)
+                if applied:
+                    now = value
+            types = (batch.column("seq").type, batch.column("key").type, pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["seq", "key", "applied", "observed"])
+
+    return dealt.mapInArrow(fold, f"seq {seq_type}, key {key_type}, applied boolean, observed string")
 
 
 def batch_verdicts(checks: DataFrame, state: DataFrame) -> DataFrame:
@@ -66,6 +89,16 @@ def verdicts_of(checked: DataFrame) -> DataFrame:
     )
 
 
+def batch_codes(batches: DataFrame, checks: DataFrame, ops: DataFrame, state: DataFrame, most: int = MOST_IN_BATCH) -> DataFrame:
+    """(batch, code, failed_check) of every batch: INVALID if it holds nothing or more than ``most`` checks and
+    writes, MISMATCH with the first failing check, or OK; checks without writes are a valid batch."""
+    sizes = checks.select("batch").unionAll(ops.select("batch")).groupBy("batch").agg(F.count("*").alias("size"))
+    judged = batches.select("batch").distinct().join(sizes, "batch", "left").join(batch_verdicts(checks, state), "batch", "left")
+    bad = F.coalesce("size", F.lit(0)).between(1, most)
+    code = F.when(~bad, "INVALID").when(F.coalesce("applied", F.lit(True)), "OK").otherwise("MISMATCH")
+    return judged.select("batch", code.alias("code"), F.when(code == "MISMATCH", F.col("failed_check")).alias("failed_check"))
+
+
 def batch_effects(writes: DataFrame, verdicts: DataFrame, seq: Column) -> DataFrame:
     """Log rows of applied batches: of a key's several writes (batch, pos, key, op, value) the last counts."""
     last = writes.groupBy("batch", "key").agg(F.max_by(F.struct("op", "value"), "pos").alias("w"))
@@ -111,6 +144,18 @@ def cached_results(log: DataFrame, results: DataFrame) -> DataFrame:
     return both.select("idx", "client", "seq", code.alias("code"), (F.col("verdict") == "replayed").alias("deduplicated"))
 
 
+def sessions(log: DataFrame) -> DataFrame:
+    """(client, last_seq, cmd): the newest session of each client, of rows (idx, client, seq, cmd)."""
+    named = log.where(F.coalesce(F.col("client").cast("string"), F.lit("")) != "")
+    first = F.min_by("cmd", F.struct(-F.col("seq"), F.col("idx")))
+    return named.groupBy("client").agg(F.max("seq").alias("last_seq"), first.alias("cmd"))
+
+
+def session_of(log: DataFrame, client) -> DataFrame:
+    """The session of one client, or no row; the client reaches the scan."""
+    return sessions(log.where(F.col("client") == client))
+
+
 def after_high_water(log: DataFrame, applied: int) -> DataFrame:
     """Commands not yet applied; a redelivered prefix is dropped."""
     return log.where(F.col("idx") > applied)

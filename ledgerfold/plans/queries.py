@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerfold.operators import audits, metrics, shards, state, transactions, writes
+from ledgerfold.operators import apply, audits, metrics, reads, shards, state, transactions, writes
 from ledgerfold.sources import commands
 from ledgerfold.sources.commands import table
 
@@ -185,10 +185,17 @@ def blocking_lock(spark, sf_dir):
     return transactions.blocking_in_span(_locks(spark, sf_dir), 100, 200).select("key", "txid", "kind")
 
 
+def _held(spark, sf_dir):
+    """The lock of each part: that of the first undecided transaction which has one of its lines."""
+    undecided = transactions.remaining(_locks(spark, sf_dir), commands.decisions(table(spark, sf_dir, "orders")))
+    return undecided.groupBy("key").agg(F.min(F.struct("txid", "primary_key", "kind")).alias("l")).select("key", "l.*")
+
+
 def locked_writes(spark, sf_dir):
-    locks = _locks(spark, sf_dir).where("txid % 10 = 0").groupBy("key").agg(F.min(F.struct("txid", "primary_key", "kind")).alias("l"))
-    touched = _positioned(_lines(spark, sf_dir)).where("txid % 10 = 1").select(F.col("txid").alias("command"), "pos", "key")
-    hit = transactions.locked_writes(touched, locks.select("key", "l.*"))
+    """Plain commands, one for each decided transaction, against the locks of the undecided ones."""
+    decided = commands.decisions(table(spark, sf_dir, "orders")).where("decision is not null").select("txid")
+    touched = _positioned(_lines(spark, sf_dir)).join(decided, "txid", "left_semi").select(F.col("txid").alias("command"), "pos", "key")
+    hit = transactions.locked_writes(touched, _held(spark, sf_dir))
     return hit.select("command", F.col("lock.key").alias("key"), F.col("lock.txid").alias("holder"))
 
 
@@ -203,9 +210,81 @@ def validate_occ(spark, sf_dir):
 
 
 def prewrite(spark, sf_dir):
-    held = _locks(spark, sf_dir).where("txid % 50 = 0").groupBy("key").agg(F.min("txid").alias("txid"))
-    decided = commands.decisions(table(spark, sf_dir, "orders")).where("txid % 5 = 0")
-    return transactions.prewrite(_write_sets(spark, sf_dir), held, _parts(spark, sf_dir), decided).fillna(-1, ["failed"])
+    """All transactions prewrite against the locks of the undecided ones; those that were rolled back are known."""
+    aborted = commands.decisions(table(spark, sf_dir, "orders")).where("decision = 'A'")
+    held = _held(spark, sf_dir).select("key", "txid")
+    return transactions.prewrite(_write_sets(spark, sf_dir), held, _parts(spark, sf_dir), aborted).fillna(-1, ["failed"])
+
+
+def txn_commit(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return transactions.commit(_locks(spark, sf_dir), orders.select(F.col("o_orderkey").alias("txid")), commands.decisions(orders).where("decision is not null"))
+
+
+def txn_rollback(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return transactions.rollback(orders.select(F.col("o_orderkey").alias("txid")), commands.decisions(orders))
+
+
+def batch_codes(spark, sf_dir):
+    """A batch for each order: lines that only lock are checks, the others writes; six of both at most."""
+    lines = _positioned(_lines(spark, sf_dir)).withColumnRenamed("txid", "batch")
+    checks = lines.where("kind = 'LOCK_ONLY'").select("batch", "pos", "key", F.col("l_quantity").cast("int").alias("expected"))
+    ops = lines.where("kind <> 'LOCK_ONLY'").select("batch", "pos", "key", F.lower("kind").alias("op"), F.col("l_quantity").alias("value"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch"))
+    return writes.batch_codes(orders, checks, ops, _parts(spark, sf_dir), most=6).fillna(-1, ["failed_check"])
+
+
+def sessions(spark, sf_dir):
+    return writes.sessions(commands.sessions_from_events(table(spark, sf_dir, "events")))
+
+
+def command_codes(spark, sf_dir):
+    """What every command of a log is answered, by all rules in their order."""
+    cmds, touched = commands.requests_from_events(table(spark, sf_dir, "events"))
+    customers = table(spark, sf_dir, "customer")
+    key = commands.padded("u", F.col("c_custkey"), 6)
+    known = customers.select(key.alias("key"), F.col("c_mktsegment").alias("value"))
+    locks = customers.where("c_acctbal < 0").select(key.alias("key"))
+    found = apply.decide(cmds, touched, known, locks, F.col("key") < "u000140", F.col("key").between("u000120", "u000129") & (F.col("op") != "delete"), applied=100)
+    return found.fillna(-1, ["failed_check"])
+
+
+def _customer_locks(spark, sf_dir):
+    """A lock on each customer in debt; those of the automobile segment are read-only."""
+    customers = table(spark, sf_dir, "customer").where("c_acctbal < 0")
+    kind = F.when(F.col("c_mktsegment") == "AUTOMOBILE", "LOCK_ONLY").otherwise("PUT")
+    return customers.select(commands.padded("u", F.col("c_custkey"), 6).alias("key"), F.col("c_custkey").alias("txid"), kind.alias("kind"))
+
+
+def guarded_scan(spark, sf_dir):
+    """Three scans over all shards but the last: one that is free, one that meets a lock, one that leaves what is owned."""
+    now, locks = state.full_state(_log(spark, sf_dir)), _customer_locks(spark, sf_dir)
+    owned = shards.create(spark, STARTS).where("shard_id <> 3")
+    first = locks.where("kind <> 'LOCK_ONLY'").agg(F.min("key")).first()[0]
+    scans = {"free": (None, first), "locked": (None, "u000070"), "foreign": ("u000060", "u000080")}
+    out = None
+    for name, (start, end) in scans.items():
+        one = reads.guarded_scan(now, owned, locks, start, end).withColumn("scan", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def guarded_get(spark, sf_dir):
+    users = table(spark, sf_dir, "customer").select(commands.padded("u", F.col("c_custkey"), 6).alias("key"))
+    owned = shards.create(spark, STARTS).where("shard_id <> 2")
+    return reads.guarded_get(users, state.full_state(_log(spark, sf_dir)), owned, _customer_locks(spark, sf_dir))
+
+
+def purge(spark, sf_dir):
+    kept, _ = shards.purge(state.full_state(_log(spark, sf_dir)), "u000020", "u000090", 30)
+    return kept.select("key", "value")
+
+
+def span_verdict(spark, sf_dir):
+    """Whether one shard owns all that lies between a transaction's smallest and largest key."""
+    spans = _lines(spark, sf_dir).groupBy("txid").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    return spans.select("txid", shards.span_verdict(F.col("first"), F.col("last"), F.lit(200), F.lit(1700), F.lit(True)).alias("verdict"))
 
 
 def quorum(spark, sf_dir):
@@ -236,6 +315,41 @@ def machine_safety(spark, sf_dir):
     return audits.applied_twice(lines.select(F.col("l_orderkey").alias("idx"), F.col("l_shipdate").cast("string").alias("payload")))
 
 
+def _entries(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.select((F.col("l_suppkey") % 5).alias("grp"), F.col("l_linenumber").alias("node"), F.col("l_orderkey").alias("idx"), (F.col("l_partkey") % 3).alias("term"), F.col("l_returnflag").alias("payload"))
+
+
+def prefix_mismatches(spark, sf_dir):
+    """One entry a node and index, the smallest of those the lines give."""
+    one = _entries(spark, sf_dir).groupBy("grp", "node", "idx").agg(F.min(F.struct("term", "payload")).alias("e"))
+    return audits.prefix_mismatches(one.select("grp", "node", "idx", "e.*"))
+
+
+def up_to_date(spark, sf_dir):
+    return audits.more_up_to_date(_entries(spark, sf_dir))
+
+
+def commit_index(spark, sf_dir):
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    matches = lines.groupBy(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").alias("peer")).agg(F.max("l_partkey").alias("match_index"))
+    log = lines.groupBy(F.col("l_orderkey").alias("grp"), F.col("l_partkey").alias("idx")).agg(F.min(F.col("l_suppkey") % 3).alias("term"))
+    return audits.commit_index(matches, log, orders.select(F.col("o_orderkey").alias("grp"), (F.col("o_custkey") % 3).alias("term"))).fillna(-1, ["commit_index"])
+
+
+def check_quorum(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    heard = events.select(F.col("event_type").alias("grp"), (F.col("user_id") % 7).alias("peer"), F.col("event_id").alias("at"))
+    return audits.check_quorum(heard, leader=0, now=900, window=12, members=7)
+
+
+def incomplete_leaders(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    entries = lines.select(F.col("l_suppkey").alias("term_led"), F.col("l_orderkey").alias("idx"), F.col("l_linenumber").alias("term"))
+    committed = lines.where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("idx"), F.col("l_linenumber").alias("term"))
+    return audits.incomplete_leaders(committed, entries, entries.select("term_led"))
+
+
 def term_runs(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     log = orders.select((F.col("o_custkey") % 20).alias("grp"), F.col("o_orderpriority").alias("term"), F.col("o_orderkey").alias("idx"))
@@ -265,16 +379,19 @@ def repeats(spark, sf_dir):
 
 
 def linearizability(spark, sf_dir):
-    """Every user's events as a register's history that is legal by construction; the check must say so."""
+    """Every user's events as a register's history, one operation after another. Sign-ups swap; a read of a small value
+    saw the write before the last one, so the histories of some users are not legal."""
     events = table(spark, sf_dir, "events")
-    before = F.last(F.when(F.col("event_type") != "view", F.col("event_id").cast("string")), ignorenulls=True).over(
-        Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    get = F.col("event_type") == "view"
-    history = events.select(
-        F.lit(0).alias("thread"), F.when(get, "get").otherwise("put").alias("kind"), F.col("user_id").cast("string").alias("key"),
-        F.when(~get, F.col("event_id").cast("string")).alias("value"), F.lit(None).cast("string").alias("expected"), F.lit(True).alias("completed"),
-        F.when(get, before).alias("observed"), F.lit(True).alias("applied"), (F.col("event_id") * 10).alias("invoke"), (F.col("event_id") * 10 + 5).alias("ret"),
+    upto = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    writes_ = F.when(F.col("event_type") != "view", F.col("event_id").cast("string"))
+    with_last = events.withColumn("last", F.last(writes_, ignorenulls=True).over(upto))
+    before_last = F.last(F.when(F.col("event_type") != "view", F.col("last")), ignorenulls=True).over(upto)
+    kind = F.when(F.col("event_type") == "view", "get").when(F.col("event_type") == "signup", "cas").otherwise("put")
+    history = with_last.withColumns({"kind": kind, "before_last": before_last}).select(
+        F.lit(0).alias("thread"), "kind", F.col("user_id").cast("string").alias("key"),
+        F.when(F.col("kind") != "get", F.col("event_id").cast("string")).alias("value"), F.when(F.col("kind") == "cas", F.col("last")).alias("expected"), F.lit(True).alias("completed"),
+        F.when(F.col("kind") == "get", F.when(F.col("value") < 0.8, F.col("before_last")).otherwise(F.col("last"))).alias("observed"), F.lit(True).alias("applied"),
+        (F.col("event_id") * 10).alias("invoke"), (F.col("event_id") * 10 + 10).alias("ret"),
     )
     return audits.check_history(history)
 
@@ -312,6 +429,27 @@ f(key, rn, now, seq, swap, applied, observed) AS (SELECT DISTINCT key, CAST(0 AS
   UNION ALL SELECT c.key, c.rn, CASE WHEN NOT c.swap OR f.now IS NOT DISTINCT FROM c.expected THEN c.value ELSE f.now END, c.seq, c.swap,
     f.now IS NOT DISTINCT FROM c.expected, CASE WHEN f.now IS DISTINCT FROM c.expected THEN f.now END FROM f JOIN cmds c ON c.key = f.key AND c.rn = f.rn + 1)"""
 
+_HELD = "h AS (SELECT key, min(txid) AS holder FROM lk JOIN de USING (txid) WHERE decision IS NULL GROUP BY key)"
+_ENTRIES = "en AS (SELECT l_suppkey % 5 AS grp, l_linenumber AS node, l_orderkey AS idx, l_partkey % 3 AS term, l_returnflag AS payload FROM lineitem)"
+# Commands, what sessions, owners and locks make of them, and the fold of what is left.
+_REQUESTS = """cm AS (SELECT event_id AS idx, CASE WHEN value >= 5 THEN CAST(user_id AS VARCHAR) END AS client, CAST(floor((event_id - floor(value)) / 100) AS BIGINT) AS seq, event_type AS digest,
+  CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'cas' WHEN 'purchase' THEN 'batch' ELSE 'put' END AS op, value >= 200 AS malformed,
+  concat('u', lpad(CAST(user_id AS VARCHAR), 6, '0')) AS key, CASE WHEN value >= 50 THEN 'click' END AS expected FROM events),
+al AS (SELECT *, client IS NOT NULL AND idx > 100 AND NOT malformed AS alive FROM cm),
+se AS (SELECT *, max(CASE WHEN alive THEN seq END) OVER (PARTITION BY client ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_seq,
+  first_value(CASE WHEN alive THEN idx END IGNORE NULLS) OVER (PARTITION BY client, seq ORDER BY idx) AS first_idx, first_value(CASE WHEN alive THEN digest END IGNORE NULLS) OVER (PARTITION BY client, seq ORDER BY idx) AS first_digest FROM al),
+ve AS (SELECT *, CASE WHEN NOT alive OR last_seq IS NULL OR seq > last_seq THEN NULL WHEN seq < last_seq THEN 'stale' WHEN digest = first_digest THEN 'replayed' ELSE 'reused' END AS sess FROM se),
+cu AS (SELECT concat('u', lpad(CAST(c_custkey AS VARCHAR), 6, '0')) AS key, c_mktsegment AS value, c_acctbal < 0 AS locked FROM customer),
+pr AS (SELECT ve.*, cu.value AS stored, CASE WHEN idx <= 100 THEN 'OK' WHEN malformed OR sess IN ('stale', 'reused') THEN 'INVALID' WHEN sess = 'replayed' THEN 'REPLAYED' WHEN ve.key >= 'u000140' THEN 'WRONG_SHARD'
+  WHEN ve.key >= 'u000120' AND ve.key <= 'u000129' AND op <> 'delete' THEN 'MOVING' WHEN locked THEN 'LOCKED' WHEN op = 'batch' THEN CASE WHEN cu.value IS NOT DISTINCT FROM 'BUILDING' THEN 'OK' ELSE 'MISMATCH' END END AS pre FROM ve LEFT JOIN cu ON cu.key = ve.key),
+ru AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY idx) AS rn FROM pr WHERE pre IS NULL),
+fo(key, rn, now, idx, code, observed) AS (SELECT DISTINCT key, CAST(0 AS BIGINT), stored, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM ru
+  UNION ALL SELECT r.key, r.rn, CASE r.op WHEN 'put' THEN r.digest WHEN 'delete' THEN NULL ELSE CASE WHEN f.now IS NOT DISTINCT FROM r.expected THEN r.digest ELSE f.now END END, r.idx,
+    CASE WHEN r.op <> 'cas' OR f.now IS NOT DISTINCT FROM r.expected THEN 'OK' ELSE 'MISMATCH' END, CASE WHEN r.op = 'cas' AND f.now IS DISTINCT FROM r.expected THEN f.now END FROM fo f JOIN ru r ON r.key = f.key AND r.rn = f.rn + 1),
+dn AS (SELECT pr.*, coalesce(pr.pre, fo.code) AS code, fo.observed, CASE WHEN pr.op = 'batch' AND pr.pre = 'MISMATCH' THEN 0 ELSE -1 END AS failed_check FROM pr LEFT JOIN fo ON fo.idx = pr.idx)
+SELECT d.idx, CASE WHEN d.sess = 'replayed' AND d.idx > 100 THEN f.code ELSE d.code END AS code, coalesce(d.sess = 'replayed', FALSE) OR d.idx <= 100 AS deduplicated,
+  CASE WHEN d.sess = 'replayed' THEN f.observed ELSE d.observed END AS observed, CASE WHEN d.sess = 'replayed' THEN f.failed_check ELSE d.failed_check END AS failed_check FROM dn d LEFT JOIN dn f ON f.idx = d.first_idx"""
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -319,7 +457,8 @@ QUERIES: dict[str, Query] = {
         cas_outcomes, session, session_answers, batch, batch_checks, batch_normalised, route, overlap, split_route, verdict,
         command_verdict, purge_pages, balance_plan, txn_paths, txn_resolve, txn_effects, txn_remaining, blocking_lock, locked_writes,
         validate_occ, prewrite, quorum, election_safety, log_diverge, log_matching, machine_safety, term_runs, stale_reads,
-        conservation, percentiles, repeats, linearizability,
+        conservation, percentiles, repeats, linearizability, txn_commit, txn_rollback, batch_codes, sessions, command_codes, guarded_scan,
+        guarded_get, purge, span_verdict, prefix_mismatches, up_to_date, commit_index, check_quorum, incomplete_leaders,
     )
 }
 
@@ -370,14 +509,47 @@ FROM lk LEFT JOIN de USING (txid)""",
     "txn_effects": f"WITH {_LINES} SELECT key, lower(kind) AS op, count(*) AS n FROM lk JOIN de USING (txid) WHERE decision = 'C' AND kind <> 'LOCK_ONLY' GROUP BY key, lower(kind)",
     "txn_remaining": f"WITH {_LINES} SELECT txid, key, kind FROM lk WHERE txid NOT IN (SELECT txid FROM de WHERE decision IS NOT NULL)",
     "blocking_lock": f"WITH {_LINES} SELECT key, txid, kind FROM lk WHERE key >= 100 AND key < 200 AND kind <> 'LOCK_ONLY' ORDER BY key, txid LIMIT 1",
-    "locked_writes": f"""WITH {_LINES}, h AS (SELECT key, min(txid) AS holder FROM lk WHERE txid % 10 = 0 GROUP BY key)
-SELECT txid AS command, arg_min(key, pos) AS key, arg_min(holder, pos) AS holder FROM li JOIN h USING (key) WHERE txid % 10 = 1 GROUP BY txid""",
+    "locked_writes": f"""WITH {_LINES}, {_HELD}
+SELECT txid AS command, arg_min(key, pos) AS key, arg_min(holder, pos) AS holder FROM li JOIN h USING (key) JOIN de USING (txid) WHERE decision IS NOT NULL GROUP BY txid""",
     "validate_occ": f"""WITH {_LINES}, {_SETS} SELECT txid, bool_and(expected IS NOT DISTINCT FROM cur) AS valid, coalesce(min(CASE WHEN expected IS DISTINCT FROM cur THEN pos END), -1) AS failed FROM ws WHERE validate GROUP BY txid""",
-    "prewrite": f"""WITH {_LINES}, {_SETS}, h AS (SELECT key, min(txid) AS holder FROM lk WHERE txid % 50 = 0 GROUP BY key),
+    "prewrite": f"""WITH {_LINES}, {_SETS}, {_HELD},
 x AS (SELECT txid, pos, CASE WHEN holder IS NOT NULL AND holder <> txid THEN 'LOCKED' WHEN validate AND expected IS DISTINCT FROM cur THEN 'VALIDATION_FAILED' END AS code FROM ws LEFT JOIN h USING (key)),
 g AS (SELECT txid, arg_min(code, CASE WHEN code IS NOT NULL THEN pos END) AS code, min(CASE WHEN code IS NOT NULL THEN pos END) AS failed FROM x GROUP BY txid)
-SELECT txid, CASE WHEN decision IS NOT NULL THEN 'ABORTED' ELSE coalesce(code, 'OK') END AS code, coalesce(CASE WHEN decision IS NULL THEN failed END, -1) AS failed
-FROM g LEFT JOIN (SELECT * FROM de WHERE txid % 5 = 0 AND decision IS NOT NULL) d USING (txid)""",
+SELECT txid, CASE WHEN decision = 'A' THEN 'ABORTED' ELSE coalesce(code, 'OK') END AS code, coalesce(CASE WHEN decision = 'A' THEN NULL ELSE failed END, -1) AS failed FROM g LEFT JOIN de USING (txid)""",
+    "txn_commit": f"""WITH {_LINES}, n AS (SELECT txid, count(*) AS held FROM lk GROUP BY txid)
+SELECT txid, CASE WHEN decision = 'C' OR (decision IS NULL AND coalesce(held, 0) > 0) THEN 'OK' ELSE 'ABORTED' END AS code FROM de LEFT JOIN n USING (txid)""",
+    "txn_rollback": f"WITH {_LINES} SELECT txid, CASE WHEN decision = 'C' THEN 'ALREADY_COMMITTED' ELSE 'OK' END AS code FROM de",
+    "batch_codes": f"""WITH {_LINES}, k AS (SELECT txid, count(*) AS n, min(CASE WHEN kind = 'LOCK_ONLY' AND CAST(l_quantity AS INT) IS DISTINCT FROM p_size THEN pos END) AS failed FROM li LEFT JOIN part ON p_partkey = key GROUP BY txid)
+SELECT o_orderkey AS batch, CASE WHEN n IS NULL OR n > 6 THEN 'INVALID' WHEN failed IS NULL THEN 'OK' ELSE 'MISMATCH' END AS code, CASE WHEN n <= 6 THEN coalesce(failed, -1) ELSE -1 END AS failed_check
+FROM orders LEFT JOIN k ON txid = o_orderkey""",
+    "sessions": f"WITH {_SESSION} SELECT client, max(seq) AS last_seq, arg_min(cmd, -seq * 1000000000 + idx) AS cmd FROM a GROUP BY client",
+    "command_codes": f"WITH RECURSIVE {_REQUESTS}",
+    "guarded_scan": f"""WITH {_LOG}, {_state_sql('s')}, lo AS (SELECT concat('u', lpad(CAST(c_custkey AS VARCHAR), 6, '0')) AS key, c_custkey AS txid FROM customer WHERE c_acctbal < 0 AND c_mktsegment <> 'AUTOMOBILE'),
+f AS (SELECT min(key) AS key FROM lo), g AS (SELECT arg_min(txid, key) AS txid, min(key) AS key FROM lo WHERE key < 'u000070')
+SELECT 'OK' AS code, s.key, s.value, CAST(NULL AS VARCHAR) AS holder, 'free' AS scan FROM s, f WHERE s.key < f.key
+UNION ALL SELECT 'LOCKED', key, NULL, CAST(txid AS VARCHAR), 'locked' FROM g WHERE key IS NOT NULL
+UNION ALL SELECT 'OK', s.key, s.value, NULL, 'locked' FROM s, g WHERE g.key IS NULL AND s.key < 'u000070'
+UNION ALL SELECT 'WRONG_SHARD', NULL, NULL, NULL, 'foreign'""",
+    "guarded_get": f"""WITH {_LOG}, {_state_sql('s')}, k AS (SELECT concat('u', lpad(CAST(c_custkey AS VARCHAR), 6, '0')) AS key, c_acctbal < 0 AND c_mktsegment <> 'AUTOMOBILE' AS held FROM customer),
+x AS (SELECT k.key, CASE WHEN k.key >= 'u000030' AND k.key < 'u000070' THEN 'WRONG_SHARD' WHEN held THEN 'LOCKED' WHEN s.value IS NULL THEN 'NOT_FOUND' ELSE 'OK' END AS code, s.value FROM k LEFT JOIN s ON s.key = k.key)
+SELECT key, code, CASE WHEN code = 'OK' THEN value END AS value FROM x""",
+    "purge": f"""WITH {_LOG}, {_state_sql('s')}, o AS (SELECT key FROM s WHERE key < 'u000020' OR key >= 'u000090' ORDER BY key LIMIT 30)
+SELECT key, value FROM s WHERE key NOT IN (SELECT key FROM o)""",
+    "span_verdict": f"WITH {_LINES} SELECT txid, CASE WHEN min(key) >= 200 AND max(key) <= 1700 THEN 'OK' ELSE 'WRONG_SHARD' END AS verdict FROM li GROUP BY txid",
+    "prefix_mismatches": f"""WITH {_ENTRIES}, o AS (SELECT grp, node, idx, min(struct_pack(term := term, payload := payload)) AS e FROM en GROUP BY grp, node, idx),
+x AS (SELECT grp, idx, e.term AS term, md5(string_agg(concat(idx, ',', e.term, ',', e.payload), ';' ORDER BY idx) OVER (PARTITION BY grp, node ORDER BY idx ROWS UNBOUNDED PRECEDING)) AS prefix FROM o)
+SELECT grp, idx, term FROM x GROUP BY grp, idx, term HAVING count(DISTINCT prefix) > 1""",
+    "up_to_date": f"""WITH {_ENTRIES}, r AS (SELECT grp, node, row_number() OVER (PARTITION BY grp ORDER BY term DESC, idx DESC, node DESC) AS rn FROM en) SELECT grp, node FROM r WHERE rn = 1""",
+    "commit_index": """WITH m AS (SELECT l_orderkey AS grp, l_linenumber AS peer, max(l_partkey) AS match_index FROM lineitem GROUP BY 1, 2),
+r AS (SELECT grp, match_index, row_number() OVER (PARTITION BY grp ORDER BY match_index DESC, peer) AS i, count(*) OVER (PARTITION BY grp) AS n FROM m),
+c AS (SELECT grp, match_index FROM r WHERE i = CAST(floor(n / 2) AS BIGINT) + 1), e AS (SELECT l_orderkey AS grp, l_partkey AS idx, min(l_suppkey % 3) AS term FROM lineitem GROUP BY 1, 2)
+SELECT c.grp, CASE WHEN e.term = o_custkey % 3 THEN c.match_index ELSE -1 END AS commit_index FROM c JOIN orders ON o_orderkey = c.grp LEFT JOIN e ON e.grp = c.grp AND e.idx = c.match_index""",
+    "check_quorum": """WITH q AS (SELECT event_type AS grp, 1 + count(DISTINCT CASE WHEN event_id > 888 AND user_id % 7 <> 0 THEN user_id % 7 END) AS active FROM events GROUP BY 1)
+SELECT grp, active, active >= 4 AS keeps FROM q""",
+    "incomplete_leaders": """WITH c AS (SELECT DISTINCT l_orderkey AS idx, l_linenumber AS term FROM lineitem WHERE l_returnflag = 'N'), l AS (SELECT DISTINCT l_suppkey AS term_led FROM lineitem),
+t AS (SELECT term, count(*) AS n FROM c GROUP BY term), d AS (SELECT term_led, CAST(sum(CASE WHEN term < term_led THEN n ELSE 0 END) AS BIGINT) AS due FROM l, t GROUP BY term_led),
+g AS (SELECT DISTINCT l_suppkey AS term_led, l_orderkey AS idx, l_linenumber AS term FROM lineitem WHERE l_linenumber < l_suppkey), h AS (SELECT term_led, count(*) AS held FROM g JOIN c USING (idx, term) GROUP BY term_led)
+SELECT term_led, due, coalesce(held, 0) AS held FROM d LEFT JOIN h USING (term_led) WHERE coalesce(held, 0) < due""",
     "quorum": """WITH m AS (SELECT l_orderkey AS grp, l_linenumber AS peer, max(l_partkey) AS match_index FROM lineitem GROUP BY 1, 2),
 r AS (SELECT grp, match_index, row_number() OVER (PARTITION BY grp ORDER BY match_index DESC, peer) AS i, count(*) OVER (PARTITION BY grp) AS n FROM m)
 SELECT grp, match_index AS commit_candidate FROM r WHERE i = CAST(floor(n / 2) AS BIGINT) + 1""",
@@ -396,5 +568,7 @@ max(CASE WHEN i = least(n - 1, CAST(floor(0.99 * n) AS BIGINT)) THEN value END)
     "repeats": """WITH r AS (SELECT l_returnflag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem),
 m AS (SELECT l_returnflag, max(CASE WHEN i = CAST(floor(n / 2) AS BIGINT) THEN v END) AS median, max(v) - min(v) AS width FROM r GROUP BY 1)
 SELECT l_returnflag, median, width / median AS spread FROM m""",
-    "linearizability": "SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS ops, TRUE AS linearizable FROM events GROUP BY 1",
+    "linearizability": """WITH w AS (SELECT *, last_value(CASE WHEN event_type <> 'view' THEN event_id END IGNORE NULLS) OVER u AS last FROM events WINDOW u AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT *, last_value(CASE WHEN event_type <> 'view' THEN struct_pack(v := last) END IGNORE NULLS) OVER u AS b FROM w WINDOW u AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS ops, bool_and(event_type <> 'view' OR value >= 0.8 OR b.v IS NOT DISTINCT FROM last) AS linearizable FROM x GROUP BY 1""",
 }

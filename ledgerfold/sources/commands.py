@@ -46,6 +46,30 @@ def sessions_from_events(events: DataFrame) -> DataFrame:
     return base.select(F.explode(F.filter(copies, lambda x: x.isNotNull())).alias("r")).select("r.*")
 
 
+def requests_from_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Commands (idx, client, seq, digest, op, malformed), and what they touch (idx, pos, key, role, expected, value).
+
+    Errors delete, sign-ups swap, purchases are batches of a check and a write, the rest put. Clients number their
+    commands by the hundred and lag behind by what an event is worth, so numbers repeat and fall back; events of little
+    worth have no client, those of great worth are malformed.
+    """
+    kind = F.col("event_type")
+    op = F.when(kind == "error", "delete").when(kind == "signup", "cas").when(kind == "purchase", "batch").otherwise("put")
+    number = F.floor((F.col("event_id") - F.floor("value")) / 100).cast("long")
+    cmds = events.select(
+        F.col("event_id").alias("idx"), F.when(F.col("value") >= 5, F.col("user_id").cast("string")).alias("client"), number.alias("seq"),
+        kind.alias("digest"), op.alias("op"), (F.col("value") >= 200).alias("malformed"),
+    )
+    row = lambda pos, role, expected, value: F.struct(F.lit(pos).alias("pos"), role.alias("role"), expected.cast("string").alias("expected"), value.cast("string").alias("value"))
+    none = F.lit(None)
+    swap = F.when(F.col("value") >= 50, "click")
+    items = F.when(kind == "purchase", F.array(row(0, F.lit("check"), F.lit("BUILDING"), none), row(1, F.lit("put"), none, kind))).otherwise(
+        F.array(row(0, op, F.when(kind == "signup", swap), F.when(kind != "error", kind)))
+    )
+    touched = events.select(F.col("event_id").alias("idx"), padded("u", F.col("user_id"), 6).alias("key"), F.explode(items).alias("i"))
+    return cmds, touched.select("idx", "i.pos", "key", "i.role", "i.expected", "i.value")
+
+
 def lines(lineitem: DataFrame) -> DataFrame:
     """Order lines with a total order within an order: (txid, key, kind, part of the tie-break)."""
     kind = F.when(F.col("l_returnflag") == "A", "PUT").when(F.col("l_returnflag") == "R", "DELETE").otherwise("LOCK_ONLY")

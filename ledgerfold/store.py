@@ -7,7 +7,7 @@ after which the caller decides again. An applied answer of "no" is a result, not
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,39 +73,78 @@ class Store:
         )
 
     def batch(self, checks: DataFrame, ops: DataFrame) -> DataFrame:
-        """(batch, applied, failed_check) of all-or-nothing batches with checks (batch, pos, key, expected) and
+        """(batch, code, applied, failed_check) of all-or-nothing batches with checks (batch, pos, key, expected) and
         ops (batch, pos, key, op, value). All are decided against the same state; of several applied
-        batches that write a key, the last by number counts. A batch without checks applies."""
+        batches that write a key, the last by number counts. A batch without checks applies; one of more than
+        10,000 checks and writes is INVALID."""
         at = self.version()
-        verdicts = writes.batch_verdicts(checks, self.state(at))
         known = checks.select("batch").union(ops.select("batch")).distinct()
-        verdicts = known.join(verdicts, "batch", "left").select("batch", F.coalesce("applied", F.lit(True)).alias("applied"), "failed_check")
-        log = writes.batch_effects(ops, verdicts, F.col("batch").cast("long"))
+        codes = writes.batch_codes(known, checks, ops, self.state(at))
+        codes = codes.withColumn("applied", F.col("code") == "OK")
+        log = writes.batch_effects(ops, codes, F.col("batch").cast("long"))
         before = self.state(at).select(F.lit(-(2**62)).cast("long").alias("seq"), "key", F.lit("put").alias("op"), "value")
         self._publish(full_state(before.unionByName(log)), at)
-        return verdicts
+        return codes
 
     def begin(self) -> Transaction:
         return Transaction(self, self.version())
 
 
-@dataclass(frozen=True)
+@dataclass
 class Transaction:
-    """Reads of one version and a write set, committed if no read key has changed since."""
+    """Reads of one version and buffered writes, committed if no read key has changed since.
+
+    A transaction sees its own writes, deletes among them; a key that it wrote before reading it is not checked.
+    """
 
     store: Store
     version: int | None
+    _reads: list[DataFrame] = field(default_factory=list)
+    _writes: list[DataFrame] = field(default_factory=list)
 
-    def get(self, keys: DataFrame) -> DataFrame:
-        return self.store.get(keys, self.version) if self.version is not None else keys.select("key", F.lit(None).cast("string").alias("value"))
+    def _seen(self, keys: DataFrame) -> DataFrame:
+        if self.version is None:
+            return keys.select("key", F.lit(None).cast("string").alias("value"))
+        return self.store.get(keys, self.version)
 
-    def commit(self, reads: DataFrame, rows: DataFrame) -> bool:
-        """``reads`` (key, value) as they were seen, ``rows`` (key, value) to write, null deleting. False: a read changed."""
+    def _buffered(self) -> DataFrame:
+        """(key, value): the last buffered write of each key, null deleting."""
+        out = self.store.spark.createDataFrame([], "key string, value string, at int")
+        for at, rows in enumerate(self._writes):
+            out = out.unionByName(rows.select("key", "value", F.lit(at).alias("at")))
+        return out.groupBy("key").agg(F.max_by(F.struct("value"), "at").alias("w")).select("key", "w.value")
+
+    def get(self, keys: DataFrame) -> DataFrame:
+        """(key, value) for each asked key, null if absent; the keys count as read."""
+        mine = self._buffered().select("key", "value", F.lit(True).alias("own"))
+        seen = self._seen(keys).withColumnRenamed("value", "stored").join(mine, "key", "left")
+        self._reads.append(seen.where("own is null").select("key", F.col("stored").alias("value")))
+        return seen.select("key", F.when(F.col("own"), F.col("value")).otherwise(F.col("stored")).alias("value"))
+
+    def put(self, rows: DataFrame) -> None:
+        """Buffer rows (key, value), null deleting; a key may come once in a call, and the last call counts."""
+        self._writes.append(rows.select("key", "value"))
+
+    def delete(self, keys: DataFrame) -> None:
+        self.put(keys.select("key", F.lit(None).cast("string").alias("value")))
+
+    def commit(self, reads: DataFrame | None = None, rows: DataFrame | None = None) -> bool:
+        """Publish the buffered writes, and ``rows`` if given. False, and nothing written: a key that was read has changed.
+
+        ``reads`` (key, value) are further keys to check, as they were seen.
+        """
+        if rows is not None:
+            self.put(rows)
         now = self.store.version()
+        checked = self.store.spark.createDataFrame([], _STATE)
+        for seen in [*self._reads, *([] if reads is None else [reads])]:
+            checked = checked.unionByName(seen.select("key", "value"))
         current = self.store.state(now).withColumnRenamed("value", "current")
-        changed = reads.join(current, "key", "left").where(~F.col("value").eqNullSafe(F.col("current")))
+        changed = checked.join(current, "key", "left").where(~F.col("value").eqNullSafe(F.col("current")))
         if not changed.isEmpty():
             return False
-        kept = self.store.state(now).join(rows.select("key"), "key", "left_anti")
-        self.store._publish(kept.unionByName(rows.where("value is not null").select("key", "value")), now)
+        if self._writes:
+            new = self._buffered()
+            kept = self.store.state(now).join(new.select("key"), "key", "left_anti")
+            self.store._publish(kept.unionByName(new.where("value is not null")), now)
         return True

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -49,29 +50,42 @@ def distinct_commands(commands: DataFrame, delay: str = "10 minutes") -> DataFra
     return stamped.dropDuplicatesWithinWatermark(["client", "seq"])
 
 
+_NONE = pd.DataFrame({"key": pd.Series([], dtype=str), "txid": pd.Series([], dtype="int64"), "locked_at": pd.Series([], dtype="int64")})
+
+
 def _expire(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    held, wait = (dict(json.loads(state.get[0])), state.get[1]) if state.exists else ({}, 0)
     if state.hasTimedOut:
-        txid, locked = state.get
+        over = {t: at for t, at in held.items() if at + wait <= state.getCurrentWatermarkMs()}
+    else:
+        over = {}
+        rows = pd.concat(list(frames))
+        wait = int(rows["wait_ms"].iloc[0])
+        # Of what happens at one moment, locks come first.
+        for r in rows.sort_values(["ts", "event", "txid"], kind="stable").itertuples():
+            if r.event == "lock":
+                held[str(r.txid)] = int(r.ts.timestamp() * 1000)
+            else:
+                held.pop(str(r.txid), None)
+    left = {t: at for t, at in held.items() if t not in over}
+    if left:
+        state.update((json.dumps(sorted(left.items())), wait))
+        state.setTimeoutTimestamp(max(min(left.values()) + wait, state.getCurrentWatermarkMs() + 1))
+    elif state.exists:
         state.remove()
-        yield pd.DataFrame({"key": [key[0]], "txid": [txid], "locked_at": [locked]})
-        return
-    rows = pd.concat(list(frames)).sort_values("ts")
-    for r in rows.itertuples():
-        if r.event == "lock":
-            state.update((int(r.txid), int(r.ts.timestamp() * 1000)))
-        elif state.exists:
-            state.remove()
-    if state.exists:
-        state.setTimeoutTimestamp(max(state.get[1] + int(rows["wait_ms"].iloc[0]), state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({"key": [], "txid": [], "locked_at": []}).astype({"key": str, "txid": "int64", "locked_at": "int64"})
+    if over:
+        yield pd.DataFrame({"key": key[0], "txid": [int(t) for t in over], "locked_at": list(over.values())})
+    else:
+        yield _NONE
 
 
 def abandoned_locks(events: DataFrame, wait_ms: int = 300, delay: str = "1 second") -> DataFrame:
     """Locks (key, txid, locked_at) that no release followed in event time: their transactions may be rolled back.
 
-    ``events`` is a stream of (ts, key, txid, event), event being lock or release.
+    ``events`` is a stream of (ts, key, txid, event), event being lock or release. A key may have locks of several
+    transactions; each is released or times out by itself.
     """
     stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).withColumn("wait_ms", F.lit(wait_ms))
     return stamped.groupBy("key").applyInPandasWithState(
-        _expire, "key string, txid long, locked_at long", "txid long, locked_at long", "append", GroupStateTimeout.EventTimeTimeout
+        _expire, "key string, txid long, locked_at long", "held string, wait_ms long", "append", GroupStateTimeout.EventTimeTimeout
     )

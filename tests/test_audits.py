@@ -17,6 +17,9 @@ def test_register_histories():
     assert not ok([op("put", 0, 0, "a", completed=False), op("get", 5, 6, observed="a"), op("get", 7, 8, observed=None)])
     both = [op("cas", 1, 5, "x", None, applied=True), op("cas", 2, 6, "y", None, applied=True)]
     assert not ok(both)
+    # What starts when another ends comes after it.
+    assert not ok([op("put", 0, 1, "a"), op("get", 1, 2, observed=None)])
+    assert ok([op("put", 0, 2, "a"), op("get", 1, 2, observed=None)])
     assert ok([both[0], op("cas", 2, 6, "y", None, observed="x", applied=False)])
     assert ok([op("put", 0, 1, "a"), op("cas", 2, 3, "b", "a"), op("get", 4, 5, observed="b")])
     assert ok([op("put", i, i + 50, str(i)) for i in range(12)] + [op("get", 100, 101, observed="never")], budget=10) is None
@@ -55,7 +58,16 @@ def test_consensus_audits(spark):
     committed = spark.createDataFrame([(1, 1), (2, 1)], "idx long, term int")
     held = spark.createDataFrame([(2, 1, 1)], "term_led int, idx long, term int")
     led = spark.createDataFrame([(2,)], "term_led int")
-    assert [r["idx"] for r in audits.incomplete_leaders(committed, held, led).collect()] == [2]
+    assert [tuple(r) for r in audits.incomplete_leaders(committed, held, led).collect()] == [(2, 2, 1)]
+    assert [tuple(r) for r in audits.missing_of(2, committed, held).collect()] == [(2, 1)]
+    assert audits.incomplete_leaders(committed, held.union(spark.createDataFrame([(2, 2, 1)], held.schema)), led).count() == 0
+    assert audits.incomplete_leaders(committed, held, spark.createDataFrame([(1,)], "term_led int")).count() == 0
+    entries = [(1, n, i, 1, "p" if (n, i) != (2, 1) else "q") for n in (1, 2, 3) for i in (1, 2, 3)] + [(1, 4, 3, 2, "p")]
+    shared = audits.prefix_mismatches(spark.createDataFrame(entries, "grp int, node int, idx long, term int, payload string"))
+    assert sorted(tuple(r) for r in shared.collect()) == [(1, 1, 1), (1, 2, 1), (1, 3, 1)]
+    heard = spark.createDataFrame([("g", 1, 95), ("g", 2, 99), ("g", 2, 99), ("g", 3, 10), ("g", 0, 99), ("h", 1, 10)], "grp string, peer int, at long")
+    got = {r["grp"]: (r["active"], r["keeps"]) for r in audits.check_quorum(heard, 0, 100, 10, 5).collect()}
+    assert got == {"g": (3, True), "h": (1, False)}
     applied = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b")], "idx long, payload string")
     assert [r["idx"] for r in audits.applied_twice(applied).collect()] == [2]
     state = spark.createDataFrame([(1000.0,), (250.5,)], "value double")
@@ -67,3 +79,21 @@ def test_percentiles_pick_positions(spark):
     got = {r["g"]: (r["p50"], r["p99"]) for r in metrics.percentiles(df, "g", "v", {"p50": 0.5, "p99": 0.99}).collect()}
     assert got == {"a": (2.0, 4.0), "b": (7.0, 7.0)}
     assert metrics.repeats(df, "g", "v").where("g = 'a'").first()["spread"] == 1.5
+
+
+def test_no_audit_puts_all_rows_into_one_task(spark):
+    """Only a row for each range of rows may meet in one place, and nothing is joined without a key."""
+    reads = spark.range(1000).selectExpr("id AS read_id", "id AS at", "id - 3 AS read_index")
+    commits = spark.range(1000).selectExpr("id AS at", "id AS commit_index")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        stale = audits.stale_reads(reads, commits)
+        counts = metrics.percentiles(spark.range(5000).selectExpr("'hot' AS g", "id * 0.5D AS v"), "g", "v", {"p50": 0.5})
+        led = audits.incomplete_leaders(spark.range(100).selectExpr("id AS idx", "id % 7 AS term"), spark.range(100).selectExpr("id % 9 AS term_led", "id AS idx", "id % 7 AS term"), spark.range(9).selectExpr("id AS term_led"))
+        assert stale.count() == 1000 - 0 and counts.first()["p50"] == 1250.0 and led.count() == 8
+        for df in (stale, counts, led):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert "Window [" not in plan or "_part" in plan
+            assert "Join Cross" not in plan and "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

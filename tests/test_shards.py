@@ -57,11 +57,31 @@ def test_epochs_and_fences(spark):
     assert not old["accepted"] and old["lo"] == "a"
     assert shards.set_owned(now, "b", "c", 5).first()["accepted"]
     locks = spark.createDataFrame([("m",)], "key string")
-    assert not shards.fence_allowed(locks, "k", None).first()["allowed"]
-    assert shards.fence_allowed(locks, "a", "k").first()["allowed"]
+    free = {"lo": "a", "hi": "z", "epoch": 1, "owns": True, "fenced": False, "fence_lo": None, "fence_hi": None}
+    one = lambda **x: spark.createDataFrame([tuple((free | x).values())], "lo string, hi string, epoch int, owns boolean, fenced boolean, fence_lo string, fence_hi string")
+    refused, taken, nobody, unset = (shards.fence(one(**x), locks, *span).first() for x, span in (({}, ("k", None)), ({}, ("a", "k")), ({"owns": False}, ("a", "k")), ({"owns": None}, ("a", "k"))))
+    assert (refused["accepted"], refused["fenced"], refused["fence_lo"]) == (False, False, None)
+    assert (taken["accepted"], taken["fenced"], taken["fence_lo"], taken["fence_hi"]) == (True, True, "a", "k")
+    assert not nobody["accepted"] and unset["accepted"] and unset["owns"]
+
+
+def test_catalogs_of_many_shards(spark, monkeypatch):
+    starts = [(1, None)] + [(i, f"k{i:04d}") for i in range(2, 400)]
+    catalog = shards.create(spark, starts)
+    keys = ["", "k", "k0002", "k0002x", "k0003", "k0398", "k0399", "z", "é"]
+    want = {k: max((i for i, lo in starts if lo is None or lo.encode() <= k.encode()), default=1) for k in keys}
+    assert routed(spark, catalog, [*keys, None]) == want
+    monkeypatch.setattr(shards, "_TREE", 8)
+    assert routed(spark, catalog, [*keys, None]) == want
+    plan = shards.route(spark.createDataFrame([("a",)], "key string"), shards.create(spark, STARTS))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
 
 
 def test_purge_and_balance(spark):
+    kept, gone = shards.purge(spark.createDataFrame([(c, c) for c in "abcdefgh"], "key string, value string"), "c", "f", 3)
+    assert sorted(r["key"] for r in kept.collect()) == list("cdegh") and gone.first()["deleted"] == 3
+    kept, gone = shards.purge(kept, "c", "f")
+    assert sorted(r["key"] for r in kept.collect()) == list("cde") and gone.first()["deleted"] == 2
     letters = spark.createDataFrame([(chr(97 + i), str(i)) for i in range(26)], "key string, value string")
     assert [r["deleted"] for r in shards.purge_pages(letters, "a", "m", 5).orderBy("page").collect()] == [5, 5, 4]
     many = spark.createDataFrame([(f"k{i:03d}", "v") for i in range(160)], "key string, value string")

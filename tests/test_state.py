@@ -1,3 +1,10 @@
+import random
+import threading
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerfold.functions import ordering
 from ledgerfold.operators import state
 from ledgerfold.sources import versions
 
@@ -103,9 +110,86 @@ def test_versions_publish_atomically(spark, tmp_path):
     assert versions.vacuum(spark, root) == [0] and versions.versions(spark, root) == [1]
 
 
+def test_only_one_of_two_writers_publishes(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "table")
+    first, second = (spark.createDataFrame([(w,)], "key string") for w in ("first", "second"))
+    look, looked = versions.versions, []
+
+    def stale(spark, root):
+        # The second writer looks before the first has published.
+        looked.append(None)
+        return [] if len(looked) == 2 else look(spark, root)
+
+    monkeypatch.setattr(versions, "versions", stale)
+    assert versions.publish(first, root, None) == 0
+    with pytest.raises(versions.Conflict):
+        versions.publish(second, root, None)
+    monkeypatch.undo()
+    assert [r["key"] for r in versions.read(spark, root).collect()] == ["first"] and versions.versions(spark, root) == [0]
+    assert len([p for p in (tmp_path / "table").iterdir() if p.name.startswith("data-")]) == 1
+
+
+def test_writers_at_once(spark, tmp_path):
+    root, done = str(tmp_path / "table"), []
+
+    def write(k):
+        for _ in range(3):
+            known = versions.versions(spark, root)
+            try:
+                done.append((k, versions.publish(spark.createDataFrame([(k,)], "key int"), root, known[-1] if known else None)))
+            except versions.Conflict:
+                pass
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(v for _, v in done) == versions.versions(spark, root) == list(range(len(done)))
+    assert all(versions.read(spark, root, v).first()["key"] == k for k, v in done)
+
+
+def test_tables_and_facts_of_one_version(spark, tmp_path):
+    root = str(tmp_path / "table")
+    a, b = spark.range(3).withColumnRenamed("id", "key"), spark.range(5)
+    assert versions.publish({"a": a, "b": b}, root, None, ("key",), {"mark": 7}) == 0
+    folder = versions.manifest(spark, root)["tables"]["b"]
+    assert versions.publish({"a": a.limit(1), "b": folder}, root, 0, facts={"mark": 8}) == 1
+    assert versions.vacuum(spark, root) == [0]
+    assert versions.read(spark, root, table="a").count() == 1 and versions.read(spark, root, table="b").count() == 5
+    assert versions.manifest(spark, root)["facts"] == {"mark": 8}
+    with pytest.raises(FileNotFoundError):
+        versions.read(spark, root, table="c")
+
+
 def test_log_ranges(spark, tmp_path):
     path = str(tmp_path / "log")
-    versions.append_log(log(spark, *(("k", "put", str(i)) for i in range(30))), path, 10)
-    assert versions.read_log(spark, path, 25, 10).count() == 5
-    versions.truncate_log(spark, path, 13, 10)
-    assert sorted(r["seq"] for r in spark.read.parquet(path).collect()) == list(range(1, 14))
+    rows = log(spark, *(("k", "put", str(i)) for i in range(30)))
+    seqs = lambda after=0: sorted(r["seq"] for r in versions.read_log(spark, path, after).collect())
+    versions.append_log(rows.where("seq <= 12"), path, 10)
+    versions.append_log(rows.where("seq > 12"), path, 10)
+    assert seqs(25) == list(range(26, 31)) and seqs() == list(range(1, 31))
+    versions.truncate_log(spark, path, 13)
+    assert seqs() == list(range(1, 14)) and seqs(12) == [13] and seqs(13) == []
+    # What is appended after a cut stands in the place of what was cut off.
+    versions.append_log(rows.where("seq between 14 and 15").withColumn("value", F.lit("new")), path, 10)
+    assert seqs() == list(range(1, 16)) and {r["value"] for r in versions.read_log(spark, path, 13).collect()} == {"new"}
+    versions.compact_log(spark, path, 12)
+    assert seqs() == [13, 14, 15] and seqs(14) == [15]
+    versions.vacuum(spark, path)
+    assert seqs() == [13, 14, 15]
+    versions.compact_log(spark, path, 15)
+    assert seqs() == [] and versions.read_log(spark, path).columns == rows.columns
+
+
+def test_running_totals_cross_ranges(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(40), None if i % 7 == 0 else rng.randrange(100)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, o int, v int").repartition(5)
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    for how in ("max", "sum"):
+        want, held = {}, []
+        for i, _, v in order:
+            held += [] if v is None else [v]
+            want[i] = (max(held) if how == "max" else sum(held)) if held else None
+        assert {r["id"]: r["running"] for r in ordering.running(df, "v", "o", "id", how=how).collect()} == want

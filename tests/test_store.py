@@ -41,6 +41,27 @@ def test_batches_and_transactions(spark, tmp_path):
         versions.publish(s.state(), s.root, 0)
 
 
+def test_transactions_see_their_own_writes(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "t"))
+    s.write(spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], KV))
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    t = s.begin()
+    t.put(spark.createDataFrame([("a", "10"), ("n", "new")], KV))
+    t.delete(keys("b"))
+    t.put(spark.createDataFrame([("a", "11")], KV))
+    assert rows(t.get(keys("a", "b", "c", "n", "z"))) == {"a": "11", "b": None, "c": "3", "n": "new", "z": None}
+    # Another writer changes only what this one wrote blindly.
+    s.write(spark.createDataFrame([("a", "other")], KV))
+    assert rows(t.get(keys("c"))) == {"c": "3"} and t.commit()
+    assert rows(s.state()) == {"a": "11", "c": "3", "n": "new"}
+    u = s.begin()
+    u.get(keys("c", "z"))
+    s.write(spark.createDataFrame([("z", "phantom")], KV))
+    u.put(spark.createDataFrame([("c", "lost")], KV))
+    assert not u.commit() and rows(s.state())["c"] == "3"
+    assert s.begin().commit()
+
+
 def test_command_line(spark, tmp_path, capsys):
     root = str(tmp_path / "t")
     run = lambda *a: main([root, *a], spark)

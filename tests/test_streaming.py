@@ -51,3 +51,33 @@ def test_abandoned_locks_time_out(spark, tmp_path):
     source = spark.readStream.schema("ts timestamp, key string, txid long, event string").option("maxFilesPerTrigger", 1).parquet(path)
     got = drain(sessions.abandoned_locks(source), "abandoned")
     assert [(r["key"], r["txid"]) for r in got.where("key <> 'other'").collect()] == [("k", 1)]
+
+
+def test_fold_keeps_sessions_and_mark_with_the_state(spark, tmp_path):
+    cols = "seq long, key string, op string, value string, client string, number long, cmd string"
+    parts = [
+        [(1, "k", "put", "a", "c", 1, "x"), (2, "k", "put", "b", "c", 1, "x"), (3, "j", "put", "q", None, None, "y")],
+        [(3, "j", "put", "again", None, None, "y"), (4, "k", "put", "c", "c", 1, "x"), (5, "k", "delete", None, "c", 2, "z")],
+        [(6, "k", "create", "d", "c", 2, "z"), (7, "k", "create", "e", "d", 1, "z")],
+    ]
+    root, logs = str(tmp_path / "state"), str(tmp_path / "log")
+    states = []
+    for k, part in enumerate(parts):
+        df = spark.createDataFrame(part, cols)
+        versions.append_log(df.select("seq", "key", "op", "value").where(f"seq > {(0, 3, 5)[k]}"), logs)
+        fold.follow(stream(spark, df, str(tmp_path / f"in{k}"), 1), root, str(tmp_path / f"c{k}")).awaitTermination()
+        states.append({r["key"]: r["value"] for r in fold.live(versions.read(spark, root)).collect()})
+    assert states == [{"k": "a", "j": "q"}, {"j": "q"}, {"k": "e", "j": "q"}]
+    assert {(r["client"], r["last_seq"]) for r in versions.read(spark, root, table="sessions").collect()} == {("c", 2), ("d", 1)}
+    assert fold.compact(spark, logs, root) == 7 and versions.read_log(spark, logs).count() == 0
+
+
+def test_several_locks_of_a_key_time_out_alone(spark, tmp_path):
+    at = "2024-01-01 00:00:00"
+    rows = [(at, "k", 1, "lock"), (at, "k", 2, "lock"), (at, "k", 1, "release"), (at, "j", 5, "release"), (at, "j", 5, "lock")]
+    schema, path = "ts string, key string, txid long, event string", str(tmp_path / "in")
+    for part in (rows, [("2024-01-01 01:00:00", "other", 3, "lock")]):
+        spark.createDataFrame(part, schema).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema("ts timestamp, key string, txid long, event string").option("maxFilesPerTrigger", 1).parquet(path)
+    got = drain(sessions.abandoned_locks(source), "abandoned_several")
+    assert [(r["key"], r["txid"]) for r in got.where("key <> 'other'").collect()] == [("k", 2)]

@@ -1,3 +1,5 @@
+import random
+
 from ledgerfold.operators import writes
 
 CMD = "seq long, key string, op string, expected string, value string"
@@ -58,3 +60,32 @@ def test_sessions(spark):
     answers = {r["idx"]: (r["code"], r["deduplicated"]) for r in writes.cached_results(judged.where("client <> ''"), results).collect()}
     assert answers == {1: ("MISMATCH", False), 2: ("OK", False), 3: ("MISMATCH", True), 4: ("OK", False), 5: ("INVALID", False), 6: ("INVALID", False)}
     assert writes.after_high_water(df, 6).count() == 3
+
+
+def test_cas_runs_of_a_hot_key(spark):
+    rng, rows, now, want = random.Random(2), [], None, {}
+    for i in range(600):
+        op, value, expected = rng.choice(("put", "delete", "cas", "cas", "cas", "cas")), f"v{rng.randrange(4)}", rng.choice((None, "v0", "v1"))
+        rows.append((i, "hot", op, expected, None if op == "delete" else value))
+        if op == "cas":
+            want[i] = (now == expected, None if now == expected else now)
+            now = value if now == expected else now
+        else:
+            now = None if op == "delete" else value
+    df = spark.createDataFrame(rows, CMD)
+    assert {r["seq"]: (r["applied"], r["observed"]) for r in writes.cas_outcomes(df.repartition(5)).collect()} == want
+
+
+def test_batch_codes(spark):
+    state = spark.createDataFrame([("taken", "mine")], "key string, value string")
+    checks = spark.createDataFrame([(1, 0, "taken", None), (2, 0, "taken", "mine"), (5, 0, "a", None), (5, 1, "b", None), (5, 2, "c", None)], "batch int, pos int, key string, expected string")
+    ops = spark.createDataFrame([(3, 0, "k", "put", "v")], "batch int, pos int, key string, op string, value string")
+    known = spark.createDataFrame([(i,) for i in range(1, 6)], "batch int")
+    got = {r["batch"]: (r["code"], r["failed_check"]) for r in writes.batch_codes(known, checks, ops, state, most=2).collect()}
+    assert got == {1: ("MISMATCH", 0), 2: ("OK", None), 3: ("OK", None), 4: ("INVALID", None), 5: ("INVALID", None)}
+
+
+def test_sessions_of_clients(spark):
+    df = spark.createDataFrame([(1, "c", 1, "a"), (2, "c", 4, "b"), (3, "c", 4, "x"), (4, "c", 2, "y"), (5, "", 9, "z"), (6, "d", 1, "q")], "idx long, client string, seq long, cmd string")
+    assert {tuple(r) for r in writes.sessions(df).collect()} == {("c", 4, "b"), ("d", 1, "q")}
+    assert [tuple(r) for r in writes.session_of(df, "d").collect()] == [("d", 1, "q")]
