@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,27 +139,27 @@ def conserved(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("conserved", F.col("before") == F.col("after"))
 
 
-def linearizable(ops: list[dict], budget: int = 5_000_000) -> bool | None:
-    """Whether one key's operations have an order that a single register allows; None beyond the budget.
-
-    Each has kind (put, get, cas), value, expected, completed, observed, applied, invoke and ret. An
-    operation that did not complete may have happened, at any time from its start, or not at all. One that
-    starts when another ends comes after it.
-    """
-    ops = sorted(ops, key=lambda o: (o["invoke"], o["ret"]))
+def _after(ops: list[dict], starts: set, left: list[int]) -> set:
+    """The values that a register may have after ``ops``, sorted by invoke, if it had one of ``starts`` before; none if
+    no order is allowed. An operation that did not complete may be left out. ``left`` is the budget of steps."""
     must = sum(1 << i for i, o in enumerate(ops) if o["completed"])
     end = [o["ret"] if o["completed"] else float("inf") for o in ops]
     seen: set[tuple[int, object]] = set()
-    stack: list[tuple[int, object]] = [(0, None)]
+    stack: list[tuple[int, object]] = [(0, v) for v in starts]
+    ends = set()
     while stack:
         placed, value = stack.pop()
-        if placed & must == must:
-            return True
         if (placed, value) in seen:
             continue
         seen.add((placed, value))
-        if len(seen) > budget:
-            return None
+        left[0] -= 1
+        if left[0] < 0:
+            return ends
+        if placed & must == must:
+            ends.add(value)
+            if must + 1 < 1 << len(ops):
+                return ends  # something never completed, so this is the end of the history
+            continue
         open_ = [i for i in range(len(ops)) if not placed >> i & 1]
         first_end = min(end[i] for i in open_)
         for i in open_:
@@ -175,18 +178,74 @@ def linearizable(ops: list[dict], budget: int = 5_000_000) -> bool | None:
                     continue
                 after = o["value"] if hit else value
             stack.append((placed | 1 << i, after))
-    return False
+    return ends
 
 
-def check_history(history: DataFrame, budget: int = 5_000_000) -> DataFrame:
-    """(key, ops, linearizable) of a history; keys are independent, and one key's operations are one search."""
+class _Register:
+    """One key's history, judged piece by piece: it is cut at each moment at which no operation is open."""
+
+    def __init__(self, budget: int) -> None:
+        self.values, self.open, self.end, self.left, self.ops = {None}, [], float("-inf"), [budget], 0
+
+    def add(self, op: dict) -> None:
+        """The next operation by invoke and ret."""
+        if op["invoke"] >= self.end and self.open:
+            self._judge()
+        self.open.append(op)
+        self.ops += 1
+        self.end = max(self.end, op["ret"] if op["completed"] else float("inf"))
 
-    def check(frame: pd.DataFrame) -> pd.DataFrame:
-        clean = frame.astype(object).where(frame.notna(), None)
-        verdict = linearizable(clean.to_dict("records"), budget)
-        return pd.DataFrame({"key": [frame["key"].iloc[0]], "ops": [len(frame)], "linearizable": pd.array([verdict], "boolean")})
+    def _judge(self) -> None:
+        if self.values and self.left[0] >= 0:
+            self.values = _after(self.open, self.values, self.left)
+        self.open = []
 
-    return history.groupBy("key").applyInPandas(check, "key string, ops long, linearizable boolean")
+    def verdict(self) -> bool | None:
+        self._judge()
+        return None if self.left[0] < 0 else bool(self.values)
+
+
+def linearizable(ops: list[dict], budget: int = 5_000_000) -> bool | None:
+    """Whether one key's operations have an order that a single register allows; None beyond the budget.
+
+    Each has kind (put, get, cas), value, expected, completed, observed, applied, invoke and ret. An
+    operation that did not complete may have happened, at any time from its start, or not at all. One that
+    starts when another ends comes after it.
+    """
+    register = _Register(budget)
+    for op in sorted(ops, key=lambda o: (o["invoke"], o["ret"])):
+        register.add(op)
+    return register.verdict()
+
+
+def check_history(history: DataFrame, budget: int = 5_000_000) -> DataFrame:
+    """(key, ops, linearizable) of a history; keys are independent.
+
+    A task reads its keys' operations in order and holds those that are open at a moment, not a key's whole history.
+    """
+    columns = ("key", "kind", "value", "expected", "completed", "observed", "applied", "invoke", "ret")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, register, done = None, None, []
+        for batch in batches:
+            for op in batch.to_pylist():
+                if register is None or op["key"] != key:
+                    if register is not None:
+                        done.append((key, register.ops, register.verdict()))
+                    key, register = op["key"], _Register(budget)
+                register.add(op)
+            yield _verdicts(done)
+            done = []
+        if register is not None:
+            yield _verdicts([(key, register.ops, register.verdict())])
+
+    ordered = history.select(*columns).repartition("key").sortWithinPartitions("key", "invoke", "ret")
+    return ordered.mapInArrow(check, "key string, ops long, linearizable boolean")
+
+
+def _verdicts(rows: list[tuple]) -> pa.RecordBatch:
+    types = {"key": pa.string(), "ops": pa.int64(), "linearizable": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types.values())], list(types))
 
 
 def describe(history: DataFrame) -> DataFrame:

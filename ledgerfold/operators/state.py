@@ -55,6 +55,13 @@ def scan(log: DataFrame, start: str | None = None, end: str | None = None, limit
     return rows.limit(limit) if limit else rows
 
 
+def scan_namespace(log: DataFrame, name: str, start: str | None = None, end: str | None = None, limit: int = 0) -> DataFrame:
+    """(key, value) of live keys of a namespace, its prefix taken off; bounds are keys within it."""
+    upper = name[:-1] + chr(ord(name[-1]) + 1) if end is None else name + end
+    rows = scan(log, name + (start or ""), upper, limit)
+    return rows.select(F.substring("key", len(name) + 1, 1 << 30).alias("key"), "value")
+
+
 def page(log: DataFrame, start: str | None, end: str | None, limit: int = 1000, most: int = 10_000) -> DataFrame:
     """(key, value, more): one page, and whether the range holds further keys; limit 0 is the default of 1000."""
     limit = min(limit or 1000, most)

@@ -62,6 +62,13 @@ def scan_page(spark, sf_dir):
     return state.page(_log(spark, sf_dir), "u000003", "u000090", 10)
 
 
+def scan_all(spark, sf_dir):
+    """All orders as a log of puts, read back in the order of their keys."""
+    orders = table(spark, sf_dir, "orders")
+    log = orders.select(F.col("o_orderkey").alias("seq"), commands.padded("o", F.col("o_orderkey"), 12).alias("key"), F.lit("put").alias("op"), F.col("o_orderpriority").alias("value"))
+    return state.scan(log)
+
+
 def next_page(spark, sf_dir):
     return state.next_page(_log(spark, sf_dir), "u000005", None, 5)
 
@@ -453,7 +460,7 @@ SELECT d.idx, CASE WHEN d.sess = 'replayed' AND d.idx > 100 THEN f.code ELSE d.c
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        full_state, latest, asof, lookup, scan_page, next_page, state_pages, snapshot_diff, advanced_state, cas_create, cas_fold,
+        full_state, latest, asof, lookup, scan_all, scan_page, next_page, state_pages, snapshot_diff, advanced_state, cas_create, cas_fold,
         cas_outcomes, session, session_answers, batch, batch_checks, batch_normalised, route, overlap, split_route, verdict,
         command_verdict, purge_pages, balance_plan, txn_paths, txn_resolve, txn_effects, txn_remaining, blocking_lock, locked_writes,
         validate_occ, prewrite, quorum, election_safety, log_diverge, log_matching, machine_safety, term_runs, stale_reads,
@@ -471,6 +478,7 @@ n AS (SELECT DISTINCT key FROM log WHERE seq <= 600)
 SELECT k.key, CASE WHEN s.key IS NOT NULL THEN 'put' WHEN n.key IS NOT NULL THEN 'delete' END AS kind, s.value FROM k LEFT JOIN n ON n.key = k.key LEFT JOIN s ON s.key = k.key""",
     "scan_page": f"""WITH {_LOG}, {_state_sql('s')}, r AS (SELECT key, value, row_number() OVER (ORDER BY key) AS rn, count(*) OVER () AS n FROM s WHERE key >= 'u000003' AND key < 'u000090')
 SELECT key, value, n > 10 AS more FROM r WHERE rn <= 10""",
+    "scan_all": "SELECT concat('o', lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) AS key, arg_max(o_orderpriority, o_orderkey) AS value FROM orders GROUP BY 1",
     "next_page": f"""WITH {_LOG}, {_state_sql('s')}, r AS (SELECT key, value, row_number() OVER (ORDER BY key) AS rn, count(*) OVER () AS n FROM s WHERE key > 'u000005')
 SELECT key, value, n > 5 AS more FROM r WHERE rn <= 5""",
     "state_pages": f"WITH {_LOG}, {_state_sql('s')} SELECT key, CAST(floor((row_number() OVER (ORDER BY key) - 1) / 7) AS BIGINT) AS page FROM s",

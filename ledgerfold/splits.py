@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerfold.functions.keys import between
-from ledgerfold.operators import shards
+from ledgerfold.operators import reads, shards
 from ledgerfold.sources import versions
 from ledgerfold.sources.directory import Directory
 
@@ -103,6 +103,51 @@ class Cluster:
             out = out.unionByName(mine.select(F.lit(r["shard_id"]).cast("int").alias("shard_id"), "key", "value"))
         return out
 
+    def _parts(self, start: str | None, end: str | None) -> tuple[list, DataFrame]:
+        """The catalog's rows that meet [start, end), and what of each range its shard says it owns."""
+        _, catalog = self.directory.load()
+        met = sorted(shards.overlapping(catalog, start, end).collect(), key=lambda r: (r["lo"] or "").encode())
+        rows = []
+        for r in met:
+            told = self.shard(r["shard_id"]).range()
+            if told["owns"]:
+                los, his = ([x for x in (r[c], told[c]) if x is not None] for c in ("lo", "hi"))
+                rows.append((r["shard_id"], max(los, default=None), min(his, default=None)))
+        return met, self.spark.createDataFrame(rows, "shard_id int, lo string, hi string")
+
+    def scan(self, start: str | None = None, end: str | None = None, limit: int = 0) -> DataFrame:
+        """``reads.guarded_scan`` over all shards that [start, end) meets, by what each of them says it owns."""
+        met, owned = self._parts(start, end)
+        state, locks = self.spark.createDataFrame([], _STATE), self.spark.createDataFrame([], _LOCKS)
+        for r in met:
+            part = self.shard(r["shard_id"])
+            # A shard may still hold keys that it does not own any more.
+            state = state.unionByName(part.state().select("key", "value").where(between("key", r["lo"], r["hi"])))
+            locks = locks.unionByName(part.locks().where(between("key", r["lo"], r["hi"])))
+        return reads.guarded_scan(state, owned, locks, start, end, limit)
+
+    def put(self, rows: DataFrame) -> DataFrame:
+        """(key, code) of writes (key, value), null deleting, a key once: OK, WRONG_SHARD, MOVING or LOCKED.
+
+        Each shard publishes what it accepts as one version; Conflict if another writer came first there.
+        """
+        _, catalog = self.directory.load()
+        routed = shards.route(rows.select("key", "value"), catalog)
+        codes = self.spark.createDataFrame([], "key string, code string")
+        for r in sorted(routed.select("shard_id").distinct().collect()):
+            part = self.shard(r["shard_id"])
+            now, at = part.range(), {c: F.lit(v) for c, v in part.range().items()}
+            verdict = shards.verdict(F.col("key"), at["lo"], at["hi"], at["fence_lo"], at["fence_hi"], at["fenced"], F.lit(True), F.lit(now["owns"]))
+            held = part.locks().select("key", F.lit(True).alias("_held")).distinct()
+            judged = routed.where(F.col("shard_id") == r["shard_id"]).join(held, "key", "left")
+            code = F.when(verdict != "OK", verdict).when(F.col("_held"), "LOCKED").otherwise("OK")
+            judged = judged.select("key", "value", code.alias("code"))
+            before = part.state().select("key", "value")
+            done = judged.where("code = 'OK'").select("key", "value")
+            part.write(state=before.join(done.select("key"), "key", "left_anti").unionByName(done.where("value is not null")))
+            codes = codes.unionByName(judged.select("key", "code"))
+        return codes
+
     def split(self, name: str, split_key: str, target: int, stop_after: str | None = None) -> str:
         """Start a split, or go on with that of the same name; returns its phase."""
         if self.directory.record(f"split/{name}") is None:

@@ -54,9 +54,13 @@ def follow(log: DataFrame, root: str, checkpoint: str):
     )
 
 
-def compact(spark, log_root: str, root: str) -> int:
-    """Drop the part of the log at ``log_root`` that the table at ``root`` holds; returns its high-water mark."""
+def compact(spark, log_root: str, root: str, threshold: int = 10_000) -> int:
+    """Drop the part of the log at ``log_root`` that the table at ``root`` holds, once it holds ``threshold`` commands
+    beyond what was dropped before; returns the mark up to which the log is dropped."""
     mark = versions.manifest(spark, root)["facts"].get("applied", 0)
+    dropped = versions.manifest(spark, log_root)["facts"].get("compacted", 0)
+    if mark - dropped < threshold:
+        return dropped
     versions.compact_log(spark, log_root, mark)
     return mark
 

@@ -22,6 +22,10 @@ def test_a_split_goes_on_from_any_phase(spark, tmp_path, stop):
     assert c.split("s", "r", 7, stop_after=stop) == stop
     if stop == "fenced":
         assert c.shard(2).range()["fenced"] and not c.shard(7).range()["owns"]
+        new = spark.createDataFrame([("a", "A"), ("s", "S"), ("n", "N"), ("b2", None)], KV)
+        assert {r["key"]: r["code"] for r in c.put(new).collect()} == {"a": "OK", "s": "MOVING", "n": "OK", "b2": "OK"}
+    if stop == "published":  # the catalog names a shard that does not own its range yet
+        assert [r["code"] for r in c.scan("q", "t").collect()] == ["WRONG_SHARD"]
     assert c.resume("s") == "done" and c.resume("s") == "done"
     assert sorted((r["key"], r["value"]) for r in c.state().collect()) == before
     assert sorted(r["key"] for r in c.shard(2).state().collect()) == list("mnopq")
@@ -29,6 +33,8 @@ def test_a_split_goes_on_from_any_phase(spark, tmp_path, stop):
     _, catalog = c.directory.load()
     assert sorted((r["shard_id"], r["lo"], r["hi"], r["epoch"]) for r in catalog.collect()) == [(1, None, "m", 2), (2, "m", "r", 2), (7, "r", None, 2)]
     assert (c.shard(2).range()["hi"], c.shard(2).range()["fenced"], c.shard(7).range()["lo"]) == ("r", False, "r")
+    assert [(r["code"], r["key"]) for r in c.scan("e", "o").collect()] == [("OK", k) for k in "efmn"]
+    assert [r["key"] for r in c.scan("p", None, 3).collect()] == list("pqr")
     with pytest.raises(KeyError):
         c.resume("other")
 
@@ -36,6 +42,8 @@ def test_a_split_goes_on_from_any_phase(spark, tmp_path, stop):
 def test_a_lock_or_an_old_epoch_refuses(spark, tmp_path):
     c = filled(spark, tmp_path)
     c.shard(2).write(locks=spark.createDataFrame([("s", 1, "s", "PUT", "x")], "key string, txid long, primary_key string, kind string, value string"))
+    assert {r["key"]: r["code"] for r in c.put(spark.createDataFrame([("s", "x"), ("zz", "y")], KV)).collect()} == {"s": "LOCKED", "zz": "OK"}
+    assert [tuple(r)[:2] for r in c.scan("a", None).collect()] == [("LOCKED", "s")]
     with pytest.raises(Refused):
         c.split("s", "r", 7)
     assert c.directory.record("split/s")["phase"] == "started"

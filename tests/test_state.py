@@ -70,6 +70,8 @@ def test_scan_bounds_limits_and_pages(spark):
     assert len(keys(state.scan(df, "k0045"))) == 5
     assert keys(state.scan(df, limit=3)) == ["k0000", "k0001", "k0002"]
     assert keys(state.scan(df, "m", "m")) == []
+    assert keys(state.scan_namespace(df, "k00", "4", limit=3)) == ["40", "41", "42"] and len(keys(state.scan_namespace(df, "k000"))) == 10
+    assert keys(state.scan_namespace(df, "k", "0001", "0003")) == ["0001", "0002"]
     page = state.page(df, None, None, 20).collect()
     assert len(page) == 20 and all(r["more"] for r in page)
     rest = state.next_page(df, "k0044", None, 20).collect()

@@ -69,7 +69,8 @@ def test_fold_keeps_sessions_and_mark_with_the_state(spark, tmp_path):
         states.append({r["key"]: r["value"] for r in fold.live(versions.read(spark, root)).collect()})
     assert states == [{"k": "a", "j": "q"}, {"j": "q"}, {"k": "e", "j": "q"}]
     assert {(r["client"], r["last_seq"]) for r in versions.read(spark, root, table="sessions").collect()} == {("c", 2), ("d", 1)}
-    assert fold.compact(spark, logs, root) == 7 and versions.read_log(spark, logs).count() == 0
+    assert fold.compact(spark, logs, root) == 0 and versions.read_log(spark, logs).count() == 7
+    assert fold.compact(spark, logs, root, threshold=5) == 7 and versions.read_log(spark, logs).count() == 0
 
 
 def test_several_locks_of_a_key_time_out_alone(spark, tmp_path):
