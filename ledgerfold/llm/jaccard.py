@@ -14,8 +14,9 @@ components, after bounds by size and by a bit sketch of the sets. No list is cut
 could join two components is missed.
 
 A list of a shingle that is frequent among some thousand documents is dealt to pieces of about
-``piece`` documents before the shuffle, each with pivots of its own, and the pivots of a list meet
-afterwards; so does what a piece beyond ``most`` rows is cut into. A frequent list needs no task of its own.
+``piece`` documents before the shuffle. Each piece also gets the pivots of the whole list, the heaviest class
+of each range of sizes; other pivots that it needs meet those of other pieces afterwards, and so do
+those of what a piece beyond ``most`` rows is cut into. A frequent list needs no task of its own.
 
 A null, empty or blank text has an empty set and links with nothing; very long texts are read whole. Rows
 that repeat an id are one document, which links by any of its texts. A null id links with nothing. Ids are
@@ -25,6 +26,7 @@ integers. Without rows the result is empty. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +43,8 @@ _FREQUENT = 1 << 17
 _SEEN, _SEEN_AMONG = 4, 4096
 _SKETCH = 16  # words of 64 bits
 _MAP_BITS = 1 << 24
-#: Documents of a long list that are compared in one piece with as many others.
-_BLOCK = 8192
+#: Documents of a long list that are compared in one piece with as many others: a share of all, within these bounds.
+_BLOCK = (1024, 8192)
 #: Pieces into which a list of all documents is dealt, and the least size of a piece.
 _PIECES, _LEAST_PIECE = 512, 512
 
@@ -306,7 +308,17 @@ def _pivot_pairs(lists: DataFrame, reps: DataFrame, num: int, den: int, most: in
     return met.where("h = 0")
 
 
-def _to_compare(lists: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
+def _own_pivots(postings: DataFrame, num: int, den: int) -> DataFrame:
+    """Postings of each split list's pivots, one for each range of sizes, for the pieces that they are not in."""
+    size = F.floor(F.log("n") / math.log(den / num)) if num < den else F.col("n")
+    best = F.min_by(F.struct("doc", "n", "weight"), F.struct(-F.col("weight"), "n", "doc")).alias("p")
+    chosen = postings.where("pieces is not null").groupBy("h", "pieces", size.alias("size")).agg(best).select("h", "pieces", "p.*")
+    every = chosen.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    others = every.where(F.col("at") != F.pmod(F.xxhash64("doc"), F.col("pieces")))
+    return others.select(F.xxhash64("h", "at").alias("g"), "h", "doc", "n", "weight", F.lit(True).alias("split"))
+
+
+def _to_compare(lists: DataFrame, known: DataFrame, docs: DataFrame, block: int) -> DataFrame:
     """Rows (g, probe, ...) of documents that share a long list but not yet a component.
 
     A list's largest component is only compared with what is outside it. Both sides of the comparison
@@ -318,7 +330,7 @@ def _to_compare(lists: DataFrame, known: DataFrame, docs: DataFrame) -> DataFram
     apart = sizes.groupBy("h").agg(
         F.count("*").alias("components"), F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("largest")
     ).where("components > 1")
-    blocks = apart.select("h", "largest", F.ceil(F.col("n") / _BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / _BLOCK).alias("probes"))
+    blocks = apart.select("h", "largest", F.ceil(F.col("n") / block).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / block).alias("probes"))
     rows = long.join(blocks, "h").join(docs, "doc")
     own = lambda of, seed: F.pmod(F.xxhash64("doc", F.lit(seed)), F.col(of))
     every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
@@ -385,11 +397,13 @@ def components(
     with small_batches(spark):
         reps = materialize(prefixes.join(weights, "doc").dropDuplicates(["doc", "n", "sketch", "prefix"]), "prefixes")
     # Of the frequent shingles, which are no more than _FREQUENT, those whose lists are longer than a piece.
-    piece = piece or max(_LEAST_PIECE, weights.count() // _PIECES)
+    share = weights.count() // _PIECES
+    piece, block = piece or max(_LEAST_PIECE, share), min(max(_BLOCK[0], share), _BLOCK[1])
     pieces = F.broadcast(often.where(F.col("n") > piece).select(F.col("shingle").alias("h"), F.ceil(F.col("n") / piece).alias("pieces")))
     postings = reps.select(F.explode("prefix").alias("h"), "doc", "n", "weight").join(pieces, "h", "left")
     part = F.xxhash64("h", F.pmod(F.xxhash64("doc"), F.col("pieces")))
-    postings = postings.select(F.coalesce(part, "h").alias("g"), "h", "doc", "n", "weight", F.col("pieces").isNotNull().alias("split"))
+    own = _own_pivots(postings, num, den)
+    postings = postings.select(F.coalesce(part, "h").alias("g"), "h", "doc", "n", "weight", F.col("pieces").isNotNull().alias("split")).unionByName(own)
     lists = materialize(
         postings.repartition("g").sortWithinPartitions("g").mapInArrow(
             _merge_lists(merged, num, den, most), "h long, a long, b long, c long, needed long"
@@ -411,7 +425,7 @@ def components(
     known = connected_components(first).withColumnsRenamed({"node": "doc"})
     rows_of = in_long.join(reps.select("doc", "n", "sketch"), "doc")
     rest = (
-        _to_compare(lists, known, rows_of).repartition("g").sortWithinPartitions("g")
+        _to_compare(lists, known, rows_of, block).repartition("g").sortWithinPartitions("g")
         .mapInArrow(_still_apart(num, den), "a long, b long").where("a < b").distinct()
     )
     # Pairs that share a short list too were decided above.

@@ -250,9 +250,24 @@ def test_near_duplicates_of_lists_in_pieces(spark):
         spark.conf.set(name, before)
 
 
+def test_a_hub_of_a_list_in_pieces_is_met_by_all(spark):
+    """Near copies that link with their original alone: the original is the pivot of every piece."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)] * 3
+    for i in range(80):
+        copy = list(base)
+        for at in rng.sample(range(120), 2):
+            copy[at] = f"x{i}_{at}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = jaccard.components(docs, k=4, num=85, merged=3, piece=6)
+    assert {(r["doc_id"], r["component_id"]) for r in found.collect()} == {(d, c) for d, (_, c) in plain_components(list(enumerate(texts)), 4, 85).items()}
+
+
 def test_long_lists_of_many_components(spark, monkeypatch):
     """A passage that most documents are made of, with chains of near copies across the blocks of its lists."""
-    monkeypatch.setattr(jaccard, "_BLOCK", 7)
+    monkeypatch.setattr(jaccard, "_BLOCK", (7, 7))
     rng = random.Random(6)
     passages = [" ".join(f"p{j}_{i}" for i in range(24)) for j in range(3)]
     texts = [" ".join([*rng.sample(passages, rng.randrange(1, 4)), *(f"y{rng.randrange(6)}" for _ in range(rng.randrange(7)))]) for _ in range(150)]
