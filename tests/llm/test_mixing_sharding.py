@@ -90,6 +90,39 @@ def test_mix_gives_every_row_its_own_parts(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(rows, key=repr)
 
 
+def test_mix_stage_is_the_plan_in_order(spark, sf_dir):
+    """Sequence and repeats of the stage by value: documents by their moments, as plain arithmetic gives them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r["doc_id"], len(WORD.findall(r["text"] or "")), r["source"]) for r in docs.collect()]
+    sizes = {}
+    for _, n, s in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    target, order = plain_targets(sizes), sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
+    want = []
+    for source in order:
+        # A weight of 1 falls from 3/2 to 1/2, one of 3 rises from 1/2 to 3/2; their integral is 1.
+        tilt = (2 - weight[source]) / 2
+        mine = sorted((hashlib.md5(f"0:{d}".encode()).hexdigest(), n, d) for d, n, s in rows if s == source)
+        for turn in range(3):
+            at = turn * sizes[source]
+            for _, n, d in mine:
+                if at < target[source]:
+                    share, b = at / target[source], 1 + tilt
+                    moment = share if tilt == 0 else (b - (b * b - 4 * tilt * share) ** 0.5) / (2 * tilt)
+                    if 2 * min(n, -int(at - target[source]) + ((target[source] - at) % 1 > 0)) >= n:
+                        want.append((round(moment, 7), d))
+                at += n
+    got = [r["doc_id"] for r in corpus_pipeline.mix(spark, docs, None).collect()]
+    moments = dict.fromkeys(d for _, d in want)
+    assert sorted(got) == sorted(d for _, d in want)
+    exact = sorted(want)
+    # Equal moments aside, the order is that of the moments.
+    for d, (m, e) in zip(got, exact, strict=True):
+        assert d == e or any(abs(x - m) < 1e-6 for x, y in exact if y == d), (d, e, m)
+    assert len(moments) <= len(rows)
+
+
 def least_capacity(sizes, shards):
     def needs(c):
         n, held = 1, 0

@@ -22,10 +22,10 @@ def test_language_is_right_on_texts_that_were_not_fitted(spark):
 def test_language_edges(spark):
     base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
     model = langid.fit(base)
-    rows = [(1, None, "en", "s"), (2, "", None, None), (3, "123 456 !!!", "de", "s"), (4, "x" * 50, None, "s"), (5, "The thing that they have and with", None, None), (5, "The thing that they have and with", None, None)]
+    rows = [(1, None, "en", "s"), (2, "", None, None), (3, "123 456 !!!", "de", "s"), (4, "x" * 50, None, "s"), (6, "the thing that they have " * 30_000, None, None), (5, "The thing that they have and with", None, None), (5, "The thing that they have and with", None, None)]
     docs = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "doc_id long, text string, lang string, source string, language string, probability string")
     got = {r["doc_id"]: r["language"] for r in langid.identify(docs, model, declared=F.col("lang"), host=F.col("source")).collect()}
-    assert (got[1], got[2], got[3], got[5]) == ("und", "und", "und", "en")
+    assert (got[1], got[2], got[3], got[5], got[6]) == ("und", "und", "und", "en", "en")
     kept = langid.keep_accepted(docs, model)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.where("doc_id = 5").collect()) == [5, 5]
     assert langid.keep_accepted(docs.limit(0), model).count() == 0
@@ -180,3 +180,11 @@ def test_quality_scores_are_cumulative_link_probabilities(spark):
         above = [1 / (1 + math.exp(-max(-40, min(40, score - cut)))) for cut in model.thresholds]
         assert abs(got[doc]["expected_grade"] - sum(above)) < 1e-4 and abs(got[doc]["tail_probability"] - above[-1]) < 1e-4
         assert got[doc]["selected"] == (got[doc]["tail_probability"] >= 0.5)
+
+
+def test_language_stage_by_value(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.orderBy("doc_id").collect()
+    want = plain_identify([(r["text"], r["lang"], None, r["source"], None) for r in rows], langid.fit(docs))
+    kept = {r["doc_id"] for r in langid.keep_accepted(docs, langid.fit(docs)).collect()}
+    assert kept == {r["doc_id"] for r, (_, _, ok) in zip(rows, want, strict=True) if ok}
