@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerfold.functions.ordering import running
 
@@ -23,22 +25,50 @@ def create_verdicts(log: DataFrame) -> DataFrame:
     )
 
 
+def _typed(commands: DataFrame) -> DataFrame:
+    return commands.select("seq", "key", "op", F.col("expected").cast("string").alias("expected"), F.col("value").cast("string").alias("value"))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 10_000) -> Iterator[pa.RecordBatch]:
+    while part := list(itertools.islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _step(now: str | None, op: str, expected: str | None, value: str | None) -> str | None:
+    """What a key holds after a command; null is absent."""
+    if op == "delete":
+        return None
+    return value if op == "put" or now == expected else now
+
+
 def compare_and_swap(commands: DataFrame) -> DataFrame:
     """(key, value) after ordered put, delete and cas commands (seq, key, op, expected, value).
 
-    A cas applies if its expectation equals the current value; null expects absence. The fold of a key
-    is inherently ordered; puts and deletes before a key's last one cannot matter and are dropped first.
+    A cas applies if its expectation equals the current value; null expects absence. What comes before a key's
+    last put or delete cannot matter and is dropped first; the rest is read in order, holding one value.
     """
-    fixed = commands.where(F.col("op") != "cas").groupBy("key").agg(F.max_by(F.struct("seq", "op", "value"), "seq").alias("base"))
-    later = commands.where(F.col("op") == "cas").join(fixed, "key", "left").where("base is null or seq > base.seq")
-    swaps = later.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "expected", "value"))).alias("swaps"))
-    start = F.when(F.col("base.op") == "put", F.col("base.value"))
-    after = F.aggregate(
-        F.coalesce("swaps", F.expr("cast(array() as array<struct<seq:bigint,expected:string,value:string>>)")),
-        start.cast("string"),
-        lambda now, c: F.when(now.eqNullSafe(c["expected"]), c["value"]).otherwise(now),
-    )
-    return fixed.join(swaps, "key", "full").select("key", after.alias("value"))
+    typed = _typed(commands)
+    fixed = typed.where(F.col("op") != "cas").groupBy("key").agg(F.max("seq").alias("base"))
+    last = typed.join(fixed, "key", "left").where("base is null or seq >= base").select("key", "seq", "op", "expected", "value")
+    schema = pa.schema([("key", to_arrow_type(typed.schema["key"].dataType)), ("value", pa.string())])
+
+    def finals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of_keys() -> Iterator[tuple]:
+            for key, rows in itertools.groupby(_rows(batches), lambda r: r[0]):
+                now = None
+                for _, _, op, expected, value in rows:
+                    now = _step(now, op, expected, value)
+                yield key, now
+
+        yield from _batches(of_keys(), schema)
+
+    key_type = typed.schema["key"].dataType.simpleString()
+    return last.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(finals, f"key {key_type}, value string")
 
 
 def cas_outcomes(commands: DataFrame) -> DataFrame:
@@ -48,32 +78,27 @@ def cas_outcomes(commands: DataFrame) -> DataFrame:
     with one. Runs are dealt out and sorted, and a task reads its runs row by row, holding one value; a key that
     holds a third of the log is spread over as many tasks as it has runs.
     """
-    key_type, seq_type = (commands.schema[c].dataType.simpleString() for c in ("key", "seq"))
-    typed = commands.select("seq", "key", "op", F.col("expected").cast("string").alias("expected"), F.col("value").cast("string").alias("value"))
+    typed = _typed(commands)
     fixed = F.when(F.col("op") != "cas", F.struct("key", "seq"))
     runs = running(typed.withColumn("_fixed", fixed), "_fixed", "key", "seq", name="_last")
     run = F.when(F.col("_last.key").eqNullSafe(F.col("key")), F.col("_last.seq"))
-    dealt = runs.select("seq", "key", "op", "expected", "value", run.alias("run")).repartition("key", "run").sortWithinPartitions("key", "run", "seq")
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, now = None, None
-        for batch in batches:
-            rows: list[list] = [[], [], [], []]
-            for seq, key, op, expected, value, run in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != (key, run):
-                    at, now = (key, run), None
-                if op != "cas":
-                    now = value if op == "put" else None
-                    continue
-                applied = now == expected
-                for column, x in zip(rows, (seq, key, applied, None if applied else now), strict=True):
-                    column.append(x)
-                if applied:
-                    now = value
-            types = (batch.column("seq").type, batch.column("key").type, pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["seq", "key", "applied", "observed"])
-
-    return dealt.mapInArrow(fold, f"seq {seq_type}, key {key_type}, applied boolean, observed string")
+    dealt = runs.select("key", run.alias("run"), "seq", "op", "expected", "value").repartition("key", "run").sortWithinPartitions("key", "run", "seq")
+    arrow = [to_arrow_type(typed.schema[c].dataType) for c in ("seq", "key")]
+    schema = pa.schema([("seq", arrow[0]), ("key", arrow[1]), ("applied", pa.bool_()), ("observed", pa.string())])
+
+    def outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of_runs() -> Iterator[tuple]:
+            for (key, _), rows in itertools.groupby(_rows(batches), lambda r: r[:2]):
+                now = None
+                for _, _, seq, op, expected, value in rows:
+                    if op == "cas":
+                        yield seq, key, now == expected, None if now == expected else now
+                    now = _step(now, op, expected, value)
+
+        yield from _batches(of_runs(), schema)
+
+    seq_type, key_type = (typed.schema[c].dataType.simpleString() for c in ("seq", "key"))
+    return dealt.mapInArrow(outcomes, f"seq {seq_type}, key {key_type}, applied boolean, observed string")
 
 
 def batch_verdicts(checks: DataFrame, state: DataFrame) -> DataFrame:
