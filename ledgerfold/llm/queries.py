@@ -93,6 +93,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard": op10_jaccard,
 }
 
+def _licences_sql() -> str:
+    """Line by line and paragraph by paragraph, every one against every template."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {quoted(name)}, {quoted(text)})" for k, (name, text) in enumerate(licenses.TEMPLATES))
+    words = lambda x: f"list_filter(string_split_regex(translate(lower({x}), m.marks, repeat(' ', length(m.marks))), '[ \\n]+'), lambda w: w <> '')"
+    parent = lambda x: f"CASE WHEN contains({x}, '/') THEN regexp_replace({x}, '/[^/]*$', '') ELSE '' END"
+    return f"""WITH m AS (SELECT concat('.,;:()[]"''/-*#', chr(9), chr(13)) AS marks), t(template, licence, notice) AS (VALUES {rows}),
+tw AS (SELECT template, licence, unnest({words('notice')}) AS word FROM t, m), v AS (SELECT DISTINCT word FROM tw),
+d AS (SELECT doc_id, text, {words('text')} AS ws FROM documents, m WHERE text IS NOT NULL), n AS (SELECT count(*) AS n FROM documents),
+h AS (SELECT DISTINCT doc_id, unnest(ws) AS word FROM d), df AS (SELECT word, count(doc_id) AS df FROM v LEFT JOIN h USING (word) GROUP BY word),
+i AS (SELECT word, ln((n + 1.0) / least(df + 1.0, n + 0.5)) AS idf FROM df, n),
+tv AS (SELECT template, licence, word, count(*) * any_value(idf) AS y FROM tw JOIN i USING (word) GROUP BY template, licence, word), tn AS (SELECT template, sqrt(sum(y * y)) AS t_norm FROM tv GROUP BY template),
+u AS (SELECT doc_id, len(ws) AS words, 'line' AS kind, unnest(string_split(text, chr(10))) AS content FROM d
+  UNION ALL SELECT doc_id, len(ws), 'paragraph', unnest(list_filter(string_split_regex(text, '\n[ \t\r]*\n'), lambda p: contains(p, chr(10)))) FROM d),
+un AS (SELECT row_number() OVER () AS unit, doc_id, words, kind, {words('content')} AS ws FROM u, m),
+ut AS (SELECT unit, word, count(*) AS tf FROM (SELECT unit, unnest(ws) AS word FROM un) GROUP BY unit, word),
+ux AS (SELECT unit, word, tf * coalesce(idf, (SELECT ln(n + 1.0) FROM n)) AS x FROM ut LEFT JOIN i USING (word)), ul AS (SELECT unit, sqrt(sum(x * x)) AS norm FROM ux GROUP BY unit),
+sc AS (SELECT unit, template, licence, round(sum(x * y) / any_value(norm * t_norm), 6) AS score FROM ux JOIN tv USING (word) JOIN ul USING (unit) JOIN tn USING (template) WHERE norm * t_norm > 0 GROUP BY unit, template, licence),
+be AS (SELECT unit, licence, score FROM sc WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY unit ORDER BY score DESC, licence) = 1),
+bd AS (SELECT doc_id, words, kind, len(ws) AS length, licence, score FROM be JOIN un USING (unit)),
+f AS (SELECT doc_id, least(greatest(sum(CASE kind WHEN 'line' THEN length ELSE 0 END), sum(CASE kind WHEN 'line' THEN 0 ELSE length END)) / any_value(words), 1.0) AS part FROM bd GROUP BY doc_id),
+o AS (SELECT doc_id, licence, score FROM bd QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) = 1),
+p AS (SELECT doc_id, concat(source, '/', CASE WHEN doc_id % 8 <> 0 THEN concat('part-', doc_id % 61, '/') ELSE '' END, doc_id) AS path FROM documents),
+w AS (SELECT p.doc_id, path, licence, score, part, {parent('path')} AS directory FROM p LEFT JOIN o USING (doc_id) LEFT JOIN f USING (doc_id)),
+g AS (SELECT directory AS ancestor, licence AS given, score AS given_score FROM w WHERE part >= 0.1 QUALIFY row_number() OVER (PARTITION BY directory ORDER BY part DESC, path) = 1),
+s AS (SELECT DISTINCT directory, string_split(directory, '/') AS names FROM w), a AS (SELECT directory, array_to_string(list_slice(names, 1, k), '/') AS ancestor FROM (SELECT *, unnest(range(1, len(names) + 1)) AS k FROM s) UNION SELECT directory, '' FROM s),
+r AS (SELECT directory, given, given_score FROM a JOIN g USING (ancestor) QUALIFY row_number() OVER (PARTITION BY directory ORDER BY length(ancestor) DESC) = 1)
+SELECT doc_id, path, coalesce(licence, given) AS licence, coalesce(score, given_score) AS score, CASE WHEN licence IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin FROM w LEFT JOIN r USING (directory)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": r"""WITH w AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
   md5(concat('0:', coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS key FROM documents),
@@ -107,6 +137,7 @@ p AS (SELECT doc_id, size, source_size, target, w0, dw, sum(size) OVER (PARTITIO
 SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN start + e * source_size < target THEN least(size, ceil(target - (start + e * source_size))) ELSE 0 END) AS BIGINT) AS taken,
   any_value(CASE WHEN start < target THEN round(2 * (start / target * (w0 + dw / 2)) / (w0 + sqrt(greatest(w0 * w0 + 2 * dw * (start / target * (w0 + dw / 2)), 0))), 9) END) AS first_moment
 FROM p, (VALUES (0), (1), (2)) v(e) GROUP BY doc_id, size, source_size, target, start""",
+    "op5_licenses": _licences_sql(),
     "op9_embeddings": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
 r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
