@@ -67,13 +67,40 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Lists of those who record what is written.
+_RECORDS: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, and a lost executor loses nothing."""
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
+    for record in _RECORDS:
+        record.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that are written within."""
+    made: list[str] = []
+    _RECORDS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDS[:] = [r for r in _RECORDS if r is not made]
+
+
+def discard_but_for(df: DataFrame, paths: list[str]) -> list[str]:
+    """Delete those of the tables from which ``df`` is not read; returns the others."""
+    folders = {f.rsplit("/", 2)[-2] for f in df.inputFiles()} if paths else set()
+    kept = [p for p in paths if p.rsplit("/", 1)[-1] in folders]
+    for path in set(paths) - set(kept):
+        at, fs = _path(df.sparkSession, path)
+        fs.delete(at, True)
+    return kept
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that no plan needs any more."""
     for file in df.inputFiles()[:1]:
@@ -82,9 +109,9 @@ def discard(df: DataFrame) -> None:
 
 
 def spread_join(rows: DataFrame, facts: DataFrame, key: str, by: str, share: int = 1000) -> DataFrame:
-    """Left join of many rows with one fact a key, in which no key's rows all meet in one task.
+    """Left join of many rows with few facts a key, in which no key's rows all meet in one task.
 
-    A key of more than 1/``share`` of the rows is dealt to pieces by a hash of ``by``, and its fact goes to
+    A key of more than 1/``share`` of the rows is dealt to pieces by a hash of ``by``, and its facts go to
     each of them. There are fewer than ``share`` such keys, so the list of them may be broadcast.
     ``rows`` is read twice and should be a written table.
     """

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ledgerfold.llm._store import materialize, small_batches
+from ledgerfold.llm._store import materialize, small_batches, spread_join
 from ledgerfold.llm._text import mix, slices, word_hashes
 
 #: Positions that a mask looks at.
@@ -179,7 +179,9 @@ def overlaps(docs: DataFrame, tests: DataFrame, least_words: int = 12, identity:
     with small_batches(docs.sparkSession):
         stretches = materialize(found.withColumn("stretch", F.xxhash64("doc_id", "start", "words")), "stretches")
     hits = stretches.select("stretch", F.explode("hits").alias("h")).select("stretch", "h.at", "h.hash")
-    lines = hits.join(hashes, "hash").select("stretch", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    # A passage that many documents share is a few hot hashes.
+    met = spread_join(hits, hashes, "hash", "stretch").where("item_at is not null")
+    lines = met.select("stretch", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

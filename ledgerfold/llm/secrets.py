@@ -3,8 +3,8 @@
 Every version of every path is content-addressed. The ledger says which blob was scanned by which
 version of which rule, and what it found; a run scans only blob and rule-version pairs that the ledger
 lacks, one copy of each blob, appends what it did to the ledger, and joins the findings back to all
-paths. A blob that a third of all rows share is aggregated before the shuffle and read once; only its
-narrow rows meet its findings.
+paths. A blob that a third of all rows share is aggregated before the shuffle and read once; its narrow
+rows are dealt to many tasks when they meet its findings.
 
 The findings of a path are those of the asked versions of the rules, whatever run made them and in
 whatever order; those of other versions stay in the ledger and are not reported. A run that is repeated
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm._store import exists
+from ledgerfold.llm._store import exists, materialize, spread_join
 from ledgerfold.llm._text import slices
 
 Span = tuple[int, int]
@@ -109,28 +109,33 @@ def _scanner(rules):
     return scan
 
 
-def scan_unseen(docs: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
+def addresses(docs: DataFrame) -> DataFrame:
+    """(doc_id, blob) of every row, written down: a narrow table in the place of the texts."""
+    return materialize(docs.select("doc_id", blob().alias("blob")), "blobs")
+
+
+def scan_unseen(docs: DataFrame, ledger: DataFrame, rules=RULES, addressed: DataFrame | None = None) -> DataFrame:
     """Scan what the ledger lacks: a ledger row (blob, rules, spans) for each blob that some rule has not seen.
 
-    ``docs`` has doc_id and text, one row for each version of a path.
+    ``docs`` has doc_id and text, one row for each version of a path; ``addressed`` comes from ``addresses``.
     """
-    addressed = docs.select("doc_id", "text", blob().alias("blob"))
+    addressed = addresses(docs) if addressed is None else addressed
     seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
     nothing = F.expr("cast(array() as array<struct<rule:string,version:int>>)")
     todo = (
         addressed.groupBy("blob").agg(F.min("doc_id").alias("reader")).join(seen, "blob", "left")
         .withColumn("todo", F.array_except(_asked(rules), F.coalesce("seen", nothing))).where(F.size("todo") > 0).drop("seen")
     )
-    d, t = addressed.alias("d"), todo.alias("t")
+    d, t = docs.select("doc_id", "text", blob().alias("blob")).alias("d"), todo.alias("t")
     to_read = d.join(t, (F.col("d.blob") == F.col("t.blob")) & F.col("d.doc_id").eqNullSafe(F.col("t.reader")))
     return to_read.select("d.blob", "d.text", "t.todo").mapInArrow(_scanner(rules), LEDGER)
 
 
-def at_paths(docs: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
+def at_paths(addressed: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
     """Findings of all versions of all paths: (doc_id, blob, spans), spans null where a blob has none.
 
-    Spans are by start, then by the place of their rule in ``rules``, then by end. A blob that a run read
-    twice, or that several runs scanned by the same rules, counts once.
+    ``addressed`` comes from ``addresses``. Spans are by start, then by the place of their rule in ``rules``, then by
+    end. A blob that a run read twice, or that several runs scanned by the same rules, counts once.
     """
     kinds = F.array(*(F.lit(name) for name, _, _ in rules))
     asked = _asked(rules)
@@ -140,14 +145,15 @@ def at_paths(docs: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
         ledger.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(in_order)))).alias("spans"))
         .select("blob", F.transform("spans", lambda x: x.dropFields("place")).alias("spans")).where(F.size("spans") > 0)
     )
-    return docs.select("doc_id", blob().alias("blob")).join(some, "blob", "left").select("doc_id", "blob", "spans")
+    return spread_join(addressed, some, "blob", "doc_id").select("doc_id", "blob", "spans")
 
 
 def run(docs: DataFrame, path: str, rules=RULES) -> DataFrame:
     """One run over ``docs``: scan what the ledger at ``path`` lacks, append it, and report from the ledger."""
     spark = docs.sparkSession
-    scan_unseen(docs, read_ledger(spark, path), rules).write.mode("append").parquet(path)
-    return at_paths(docs, read_ledger(spark, path), rules)
+    addressed = addresses(docs)
+    scan_unseen(docs, read_ledger(spark, path), rules, addressed).write.mode("append").parquet(path)
+    return at_paths(addressed, read_ledger(spark, path), rules)
 
 
 def written(spans: Column) -> Column:

@@ -73,7 +73,7 @@ def test_ledger_scans_only_what_it_lacks(spark, tmp_path):
     assert secrets.scan_unseen(df, secrets.read_ledger(spark, path), secrets.RULES[:2]).count() == 0
     newer = (("assign", 2, secrets.RULES[0][2]),)
     assert secrets.scan_unseen(df, secrets.read_ledger(spark, path), newer).count() == 2
-    spans = {r["doc_id"]: r["spans"] for r in secrets.at_paths(df, secrets.read_ledger(spark, path)).collect()}
+    spans = {r["doc_id"]: r["spans"] for r in secrets.at_paths(secrets.addresses(df), secrets.read_ledger(spark, path)).collect()}
     assert [len(spans[i]) for i in (1, 2, 3)] == [1, 1, 1]
 
 
