@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm._store import connected_components, discard, materialize, small_batches
+from ledgerfold.llm._store import connected_components, discard, materialize, small_batches, spread_join
 from ledgerfold.llm._text import shingles, slices, word_hashes
 
 #: Most shingles set aside as frequent, a bound of what is broadcast; it shifts work, not results.
@@ -325,13 +325,13 @@ def _to_compare(lists: DataFrame, known: DataFrame, docs: DataFrame, block: int)
     come in blocks of bounded size, and every block of one side meets every block of the other.
     """
     long = lists.where("h <> 0").select("h", F.col("a").alias("doc")).distinct()
-    long = long.join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    long = materialize(long.join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc")), "long-lists")
     sizes = long.groupBy("h", "component").agg(F.count("*").alias("k"))
     apart = sizes.groupBy("h").agg(
         F.count("*").alias("components"), F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("largest")
     ).where("components > 1")
     blocks = apart.select("h", "largest", F.ceil(F.col("n") / block).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / block).alias("probes"))
-    rows = long.join(blocks, "h").join(docs, "doc")
+    rows = spread_join(long, blocks, "h", "doc").where("largest is not null").join(docs, "doc")
     own = lambda of, seed: F.pmod(F.xxhash64("doc", F.lit(seed)), F.col(of))
     every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
     rest = ("doc", "n", "long", "component", "sketch")
