@@ -414,6 +414,17 @@ def test_embeddings_against_brute_force(spark):
     assert len(got) == len(rows) + len(bad) and embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_of_a_large_group_are_counts_not_pairs(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in np.ones(8) + 0.02 * rng.normal(size=8)], 1, 8) for i in range(240)]
+    found = embeddings.links(spark.createDataFrame(rows, "key long, embedding array<float>, n long, dim int"), 0.95, 16, 0.99, 16, 100_000, 80).collect()
+    assert len(found) <= 8 * 3 * (80 + 30) and {r["key"] for r in found} == set(range(240))
+    count = dict.fromkeys(range(240), 0)
+    for r in found:
+        count[r["key"]] += r["links"]
+    assert set(count.values()) == {239}
+
+
 def test_embeddings_of_one_id_are_vectors_of_their_own(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, [-1.0, 0.0]), (0, [-1.0, 0.01])]
     got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
@@ -462,3 +473,16 @@ def test_pipeline_keeps_odd_columns_and_rows(spark, tmp_path, sf_dir):
         odd = jaccard.materialize(stage(spark, odd, sf_dir), "stage")
         assert odd.columns[-4:] == ["language", "size", "digest", "key"]
     assert corpus_pipeline.STAGES[-1][1](spark, odd.limit(0), sf_dir).count() == 0
+
+
+def test_a_stage_deletes_what_the_one_before_left(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    lazy = corpus_pipeline.language_id(spark, docs, sf_dir)
+    left = list(corpus_pipeline._LEFT)
+    assert left and all(spark.read.parquet(p).columns for p in left)
+    # Documents that are still read from these tables keep them.
+    kept = corpus_pipeline.decontaminate(spark, lazy, sf_dir)
+    assert set(corpus_pipeline._LEFT) & set(left) and kept.count() <= 40
+    written = jaccard.materialize(kept, "stage")
+    corpus_pipeline.shard(spark, written, sf_dir).count()
+    assert not set(corpus_pipeline._LEFT) & set(left) and written.count() <= 40
