@@ -135,25 +135,26 @@ def assign(docs: DataFrame, shards: int = 8, text: str = "text") -> DataFrame:
     """
     added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     docs = docs.drop(*(c for c in added if c in docs.columns))
-    own = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col(text).alias("text")).withColumns(
-        {"size": _size(F.col("text")), "digest": _digest(F.col("text"))}
-    )
-    narrow = materialize(own.select("doc_id", "size", "digest"), "sized")
+    # Columns of any name go by their places, so that none is in the way and those not asked for are not shuffled.
+    place_of = {name: f"_c{i}" for i, name in enumerate(docs.columns)}
+    content, doc_id = F.col(place_of[text]), place_of["doc_id"]
+    own = docs.toDF(*place_of.values()).withColumns({"size": _size(content), "digest": _digest(content)})
+    narrow = materialize(own.select(doc_id, "size", "digest"), "sized")
     _, cuts = minimax_cuts(narrow, shards)
-    bucket = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(_BUCKETS)).cast("int")
+    bucket = F.pmod(F.xxhash64(doc_id, "digest"), F.lit(_BUCKETS)).cast("int")
     place = {"shard": shard_of(F.col("digest"), cuts), "bucket": bucket}
     # At most shards * _BUCKETS rows.
     counts = narrow.withColumns(place).groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     along = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "digest")
-    crc32 = F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long")
+    within = Window.partitionBy("shard", "bucket").orderBy(doc_id, "digest")
+    crc32 = F.coalesce(F.crc32(F.encode(content, "UTF-8")), F.lit(0)).cast("long")
     return (
-        own.withColumns(place).withColumn("text_crc32", crc32).drop("text", "size")
+        own.withColumns(place).withColumn("text_crc32", crc32)
         .withColumn("own", F.row_number().over(within) - 1)
         .join(F.broadcast(starts), ["shard", "bucket"])
         .select(
-            "row.*", _size(F.col(f"row.{text}")).alias("size"), "text_crc32", F.lit("bytes").alias("law"), "shard",
+            *(F.col(at).alias(name) for name, at in place_of.items()), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
             (F.col("own") + F.col("start")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
         )
     )
