@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerfold.functions.ordering import durable
 from ledgerfold.operators import writes
 
 def _strictest(touched: DataFrame, owned: Column, moving: Column) -> DataFrame:
@@ -57,7 +58,7 @@ def decide(
 
     with_op = touched.join(rows.where("_pre is null").select("idx", "op"), "idx")
     locked = with_op.join(locks.select("key").distinct(), "key", "left_semi").groupBy("idx").agg(F.lit(True).alias("_locked"))
-    judged = (
+    judged = durable(
         rows.join(_strictest(with_op, owned, moving), "idx", "left").join(locked, "idx", "left")
         .withColumn("_pre", F.coalesce("_pre", F.when(F.col("_owner") == 2, "WRONG_SHARD").when(F.col("_owner") == 1, "MOVING").when(F.col("_locked"), "LOCKED")))
     )
@@ -75,7 +76,7 @@ def decide(
     codes = codes.select(F.col("batch").alias("idx"), F.col("code").alias("_batch"), "failed_check")
     ran = judged.join(swaps, "idx", "left").join(codes, "idx", "left")
     own = F.coalesce("_pre", "_batch", F.when(F.col("_applied") == F.lit(False), "MISMATCH").otherwise("OK"))
-    done = ran.withColumn("_code", own)
+    done = durable(ran.withColumn("_code", own))  # met twice below
 
     # A repeat is answered like the first of its number, refusals included.
     firsts = done.select(F.col("idx").alias("_first"), F.col("_code").alias("_first_code"), F.col("observed").alias("_first_observed"), F.col("failed_check").alias("_first_check"))
